@@ -49,6 +49,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def constant(numbers: Sequence[float], kind: str) -> Column:
+    """A list of numbers, of a fixed length, as one array literal (the optimizer folds it)."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the rows as a Parquet table in the shared folder and read them back: the lineage ends there, and a lost executor costs no earlier stage.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, pick, prefix_sums
+from quarry.llm.common import constant, materialize, pick, prefix_sums
 
 #: Fixed for the life of a data set.
 SLOTS = 4096
@@ -87,7 +87,7 @@ def slot_of(doc_id: Column, slots: int = SLOTS) -> Column:
 
 
 def shard_of(slot: Column, slot_map: list[int]) -> Column:
-    return F.element_at(F.lit(slot_map), slot + 1)
+    return F.get(constant(slot_map, "int"), slot)
 
 
 def slot_loads(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -100,7 +100,7 @@ def slot_loads(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 def write_map(spark: SparkSession, path: str, version: int, slot_map: list[int], loads: DataFrame | None = None) -> None:
     """Store a version of the map: virtual_slot, shard, and the slot's bytes and rows if given. Versions are never overwritten."""
-    rows = spark.range(1).select(F.posexplode(F.lit(slot_map)).alias("virtual_slot", "shard"))
+    rows = spark.range(1).select(F.posexplode(constant(slot_map, "int")).alias("virtual_slot", "shard"))
     if loads is not None:
         rows = rows.join(loads, "virtual_slot")
     rows.coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
