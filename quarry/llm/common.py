@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import ship
+
 #: A word is a maximal run of characters other than these six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -124,3 +126,9 @@ def publish(temporary: str, final: str) -> None:
 
     fs, at = pyarrow.fs.FileSystem.from_uri(temporary)
     fs.move(at, pyarrow.fs.FileSystem.from_uri(final)[1])
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow by a function of this package, which goes to the workers with it."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
