@@ -19,6 +19,7 @@ no record. Other columns of the input play no part.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,8 +36,9 @@ from quarry.llm.common import map_arrow, materialize, new_path, open_shared, pic
 END_ID = 1
 #: Fixed value: what the mask adds.
 MASK_ADDS = 0xA282EAD8
-#: Words that a worker process remembers with their ids.
-CACHED_WORDS = 250_000
+#: What a worker process remembers with its ids: parts between blanks, and pieces of such parts.
+CACHED_PARTS = 250_000
+CACHED_PIECES = 700_000
 INDEX = "file int, doc_id bigint, nth bigint, offset bigint, length bigint, n_tokens bigint, start_in_file bigint"
 
 
@@ -86,36 +88,57 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(raw, f"<u{width}").astype("<u4")
 
 
-class WordEncoder:
-    """The tokenizers library's encode(text, add_special_tokens=False), with the ids of words remembered.
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for the 256 bytes in a byte-level vocabulary: printable bytes for themselves, the others in order from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    The tokenizer drops white space and no normalization or merge reaches across a space or a line feed, so a text's ids are those of its
-    parts between them, in order. Parts are looked up, and those not yet known are encoded in one call for each text.
+
+class WordEncoder(dict):
+    """The tokenizers library's encode(text, add_special_tokens=False), with the ids of parts remembered: a part's text to its packed ids.
+
+    The tokenizer drops white space, and neither its normalization nor its merges reach across a space or a line feed, so a text's ids are
+    those of its parts between them, in order. A part of Latin letters and then punctuation splits further, as the tokenizer splits it, into
+    lower-case letters and punctuation, which go to its model at once; any other part goes through the whole tokenizer. Only time depends on what is remembered.
     """
 
+    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+    #: Parts like these may hold the text of a special token.
+    SPECIAL = "<|"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {"": []}
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-
-    def encode(self, text: str) -> list[int]:
-        words, known, extra = text.replace("\n", " ").split(" "), self.known, {}
-        if new := list(dict.fromkeys(w for w in words if w not in known)):
-            found = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            if len(known) < CACHED_WORDS:
-                known.update(found)
-            else:
-                extra = found
-        out: list[int] = []
-        if extra:
-            for w in words:
-                out += known[w] if w in known else extra[w]
+        self.kind = f"<u{self.width}"
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
+            if len(self.pieces) >= CACHED_PIECES:
+                self.pieces.clear()
+                self.pieces[""] = b""
+            self.pieces[piece] = ids
+        return ids
+
+    def __missing__(self, part: str) -> bytes:
+        if (m := self.SIMPLE.fullmatch(part)) and self.SPECIAL not in part:
+            ids = self._piece(m[1].lower()) + self._piece(m[2])
         else:
-            for w in words:
-                out += known[w]
-        return out
+            ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(self) < CACHED_PARTS:
+            self[part] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), self.kind)
 
 
 @cache
@@ -151,7 +174,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 f = f or open_shared(temporary, "wb")
-                ids = np.array([*enc.encode(text.as_py() or ""), end_id], "<u4")
+                ids = np.append(enc.encode(text.as_py() or ""), end_id)
                 data = frame(pack(doc_id, ids, enc.width))
                 f.write(data)
                 index.append((number, doc_id, nth, offset, len(data), len(ids), start))
