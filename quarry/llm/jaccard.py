@@ -3,20 +3,24 @@
 A document is the set of its distinct 5-word shingles; two link when 100 * |intersection| >= 75 * |union|. Documents with equal sets form one
 class, and only one of each class takes part in the join.
 
-Prefixes. A set's shingles are ordered by hash. Sets of sizes n and m that link share all but n // 4 shingles of the first at most, so every
-prefix of n // 4 + 1 shingles holds a common one. Shingles that more than FREQUENT prefixes hold are indexed by 2-shingle combinations instead of
-singly: frequent shingles fall into partitions by hash, and a prefix is extended until
-    (rare shingles) + sum over partitions of (frequent shingles - 1)
-exceeds n // 4. Then whatever n // 4 shingles are missing from the other set, a rare shingle or two frequent ones of one partition are left: the pair
-shares a signature, a rare shingle or such a combination. The number of partitions follows from n (a power of two), and a set also has the combinations of the
-partitions of any size it may link with; so the combinations of a set stay about as many as its shingles. Whether a shingle is frequent
-depends on the shingle alone, as proof needs: on a count over all prefixes, or on being so common that a sample of the sets shows it (such hot
-shingles are never gathered in one place to be counted).
-
-Verification. The sets that share a signature form a bucket. All pairs of a bucket are never listed first. In each of LEADER_ROUNDS rounds, the members of a
-bucket are compared with one leader; what links is joined to components. Then only pairs of a bucket that lie in different components and haven't been
-compared are listed and verified, so no link between components is lost; a bucket of near copies has none left by then as a rule. The
-comparison reads the two whole sets, made again from the texts.
+Prefixes. A set's shingles are ordered by hash. Sets that link share all but missing(n) = n // 4 shingles of either at most. Shingles that more than FREQUENT sets
+index are frequent, the others rare. A set with more than missing(n) rare shingles is plain: the first missing(n) + 1 of them are indexed singly. If two plain
+sets link, the prefix that ends first holds a shingle of the other set, and so does the other's prefix. A set with fewer is full of frequent shingles (one of
+many near copies, or a well-known passage with little else). All its rare shingles are indexed singly, and its frequent ones in combinations of two:
+they fall into partitions by hash, and every two of one partition make a signature. So many are taken, in order, that the set's units,
+    (rare shingles that judge) + sum over partitions of (frequent shingles - 1),
+exceed missing(n): then whatever the other set misses, a rare shingle or two frequent ones of one partition are left for both. The number of partitions
+follows from n, and a set also has the combinations of the partitions of any size it may link with, so it has about n signatures.
+Sets of up to WHOLE shingles are judged by all their shingles, larger ones by those whose hashes lie in the first PART of all hashes, and only these are
+read from a larger set (unless they might lack units, or a set of WHOLE might link). Whether a shingle is frequent depends on the
+shingle alone, as proof needs: on a count over all sets, or on being so common that a sample of the sets shows it (such hot shingles are never gathered in one
+place to be counted).
+
+Verification. Sets that share a signature form a bucket. Buckets of single shingles hold FREQUENT sets at most; of their pairs, those go on that share enough
+indexed shingles: if the prefix of x, of r rare shingles, ends first and c are shared, x and y share n - r + c shingles at most. Buckets of combinations may be
+large, and their pairs are never listed first: in up to LEADER_ROUNDS rounds, while that finds links, their members are compared with one leader, and what links is joined to components. Then
+only pairs of different components which haven't been compared are listed and verified, so no link between components is lost; a bucket of near copies
+has none left by then as a rule. A comparison reads the two whole sets, made again from the texts.
 
 Hashes have 64 bits: two different shingles of compared sets are taken as one with a chance of about n * m / 2^64. Equal sets are told by 128-bit hashes.
 
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_arrow, materialize, pick, small
@@ -43,8 +47,10 @@ SIZE = 5
 LEAST = 75
 #: A shingle that more prefixes hold is indexed in combinations.
 FREQUENT = 8
-#: Frequent shingles to a partition, about, in a prefix of frequent shingles alone.
-TO_A_PARTITION = 4
+#: Shingles of a set for each of its partitions, about.
+TO_A_PARTITION = 12
+#: Sets of so many shingles are judged by all of them, larger ones by those in this part of the hashes.
+WHOLE, PART = 256, 0.4
 LEADER_ROUNDS = 3
 #: One set in so many shows hot shingles: those found HOT_SEEN times or more there, the HOT_MOST most common of them.
 HOT_SAMPLE, HOT_SEEN, HOT_MOST = 32, 8, 100_000
@@ -103,7 +109,9 @@ def shingle_set(h: np.ndarray) -> np.ndarray:
     s = np.zeros(n - m + 1, np.uint64)
     for i in range(m):
         s += h[i : n - m + 1 + i] * _IN_SHINGLE[i]
-    return np.unique(_mix(s + np.uint64(m) * _IN_SHINGLE[SIZE:]))
+    s = _mix(s + np.uint64(m) * _IN_SHINGLE[SIZE:])
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
@@ -132,44 +140,44 @@ def missing(n: int) -> int:
 
 
 def partitions(n: int) -> int:
-    """Partitions of frequent shingles for sets of n shingles."""
-    most = n // (3 * TO_A_PARTITION)
+    """Partitions of frequent shingles for sets of n shingles, a power of two."""
+    most = n // TO_A_PARTITION
     return 1 << (most.bit_length() - 1) if most else 1
 
 
-def prefix_length(n: int) -> int:
-    """Long enough for any frequencies: each partition costs one shingle at most."""
-    return min(n, missing(n) + 1 + partitions(n))
+def prefix_lengths(s: np.ndarray) -> tuple[int, int]:
+    """How many of a set's shingles, in order, are read, and how many of those judge whether it is plain."""
+    n = len(s)
+    part = int(np.searchsorted(s, np.uint64(int(PART * 2**64))))
+    judged = n if n <= WHOLE else part
+    # A plain set of WHOLE may end its prefix anywhere, so a set that may link with it is read whole.
+    read = n if LEAST * n <= 100 * WHOLE or part - partitions(n) < missing(n) + 1 else part
+    return read, judged
 
 
-def signatures(n: int, place: np.ndarray, shingle: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The signatures of a set of n, from those shingles of its prefix that other prefixes hold too; any other is rare and can't be shared."""
-    need, own = missing(n) + 1, partitions(n)
+def signatures(n: int, read: int, judged: int, place: np.ndarray, shingle: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The single and the combined signatures of a set of n, and how many rare shingles it indexes.
+
+    place, shingle, frequent: those of the `read` first shingles that other sets hold too; any other is rare and can't be shared.
+    """
+    need = missing(n) + 1
     order = np.argsort(place)
     place, shingle, frequent = place[order], shingle[order].view(np.uint64), frequent[order]
-    if not frequent.any():
-        return shingle[place < need].view(np.int64)
-    got, at, held = 0, 0, defaultdict(int)
-    end = -1
-    for p, s, f in zip(place.tolist(), shingle.tolist(), frequent.tolist(), strict=True):
-        if got + p - at >= need:
+    rare_before = place - np.cumsum(frequent) + frequent
+    units = judged - int(frequent[place < judged].sum())
+    if units >= need:
+        return shingle[~frequent & (rare_before < need)].view(np.int64), np.zeros(0, np.int64), need
+    own, held, taken, out = partitions(n), defaultdict(int), 0, []
+    common = shingle[frequent]
+    for s in common.tolist():
+        if units >= need:
             break
-        got += p - at
-        at = p + 1
-        if f:
-            held[(s >> 17) % own] += 1
-            got += held[(s >> 17) % own] > 1
-        else:
-            got += 1
-        if got >= need:
-            end = at
-            break
-    end = at + need - got if end < 0 else end
-    inside = place < end
-    out = [shingle[inside & ~frequent]]
-    common = np.sort(shingle[inside & frequent])
+        held[(s >> 17) % own] += 1
+        units += held[(s >> 17) % own] > 1
+        taken += 1
+    common = np.sort(common[:taken])
     low, high = -(-LEAST * n // 100), 100 * n // LEAST
-    for m in sorted({partitions(low), own, partitions(high)}):
+    for m in sorted({partitions(low), partitions(n), partitions(high)}):
         by: dict[int, list[int]] = defaultdict(list)
         for s in common.tolist():
             by[(s >> 17) % m].append(s)
@@ -178,61 +186,67 @@ def signatures(n: int, place: np.ndarray, shingle: np.ndarray, frequent: np.ndar
                 g = np.array(group, np.uint64)
                 i, j = np.triu_indices(len(g), 1)
                 out.append(_mix(g[i] * _IN_SHINGLE[0] + g[j] * _IN_SHINGLE[1] + np.uint64(m)))
-    return np.unique(np.concatenate(out)).view(np.int64)
+    combined = np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return shingle[~frequent].view(np.int64), combined.view(np.int64), read - int(frequent.sum())
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key and prefix of every document."""
+    """doc_id, n, judged, key and prefix (the shingles that are read, in order) of every document."""
     d = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, keys, prefixes = [], [], []
+            n, judged, keys, prefixes = [], [], [], []
             for s in sets(b.column(1).to_pylist()):
+                read, by = prefix_lengths(s)
                 n.append(len(s))
+                judged.append(by)
                 keys.append(set_key(s))
-                prefixes.append(s[: prefix_length(len(s))].view(np.int64))
+                prefixes.append(s[:read].view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "n", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(judged, pa.int32()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "n", "judged", "key", "prefix"])
+
+    return map_arrow(d, run, f"doc_id {d.schema[0].dataType.simpleString()}, n int, judged int, key binary, prefix array<bigint>")
 
-    return map_arrow(d, run, f"doc_id {d.schema[0].dataType.simpleString()}, n int, key binary, prefix array<bigint>")
+
+SIGNED = "sig bigint, combined boolean, node bigint, n int, rare int, lone int"
 
 
 def _signed(shared: DataFrame) -> DataFrame:
-    """sig, node, n, lone of each node: `lone` is how many of its first shingles no other prefix holds."""
+    """SIGNED of each node: its signatures, its size, the rare shingles it indexes, and `lone`, how many of those read no other set holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, lone, sigs = [], [], [], []
-            for node, pn, shingle, frequent in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
-                pn = pn.values.to_numpy()
-                n, place = int(pn[0] >> 32), pn & 0xFFFFFFFF
-                sig = signatures(n, place, shingle.values.to_numpy(), frequent.values.to_numpy(zero_copy_only=False))
-                nodes.append(np.full(len(sig), node))
-                sizes.append(np.full(len(sig), n, np.int32))
-                lone.append(np.full(len(sig), prefix_length(n) - len(place), np.int32))
-                sigs.append(sig)
-            cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-            yield pa.RecordBatch.from_arrays([cat(sigs, pa.int64()), cat(nodes, pa.int64()), cat(sizes, pa.int32()), cat(lone, pa.int32())], ["sig", "node", "n", "lone"])
-
-    return map_arrow(shared, run, "sig bigint, node bigint, n int, lone int")
-
-
-def _buckets(classes: DataFrame) -> DataFrame:
-    """Signatures (sig, node, n, lone) of the classes' sets, node, n, prefix; those without a partner may be among them."""
-    spread = classes.select("node", "n", F.posexplode("prefix").alias("place", "shingle"))
+            for s in range(0, b.num_rows, 500):
+                cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+                part = b.slice(s, 500)
+                for node, n, read, judged, place, shingle, frequent in zip(*(part.column(i).to_pylist() for i in range(4)), *(part.column(i) for i in range(4, 7)), strict=True):
+                    place = place.values.to_numpy()
+                    single, combined, rare = signatures(n, read, judged, place, shingle.values.to_numpy(), frequent.values.to_numpy(zero_copy_only=False))
+                    k = len(single) + len(combined)
+                    for c, x in zip(cols, (np.concatenate([single, combined]), np.arange(k) >= len(single), *(np.full(k, y) for y in (node, n, rare, read - len(place)))), strict=True):
+                        c.append(x)
+                types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in SIGNED.split(", ")])
+
+    return map_arrow(shared, run, SIGNED)
+
+
+def _signatures(classes: DataFrame) -> DataFrame:
+    """SIGNED of the sets node, n, judged, prefix; signatures without a partner may be among them."""
+    spread = classes.select("node", F.posexplode("prefix").alias("place", "shingle"))
     seen = spread.where(F.pmod(F.xxhash64("node"), F.lit(HOT_SAMPLE)) == 0).groupBy("shingle").count().where(F.col("count") >= HOT_SEEN)
     hot = F.broadcast(materialize(seen.orderBy(F.desc("count"), "shingle").limit(HOT_MOST).select(F.col("shingle").alias("_hot")), "jaccard-hot"))
     spread = spread.join(hot, F.col("shingle") == F.col("_hot"), "left")
     is_hot = F.col("_hot").isNotNull()
     # Hot shingles are frequent without a count: they are dealt by node.
-    dealt = spread.select("node", "shingle", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("pn"), F.when(is_hot, F.xxhash64("node")).otherwise(F.col("shingle")).alias("deal"), is_hot.alias("hot"))
-    from pyspark.sql import Window
-
+    dealt = spread.select("node", "place", "shingle", F.when(is_hot, F.xxhash64("node")).otherwise(F.col("shingle")).alias("deal"), is_hot.alias("hot"))
     counted = dealt.withColumn("c", F.count("*").over(Window.partitionBy("deal")))
-    shared = counted.where("hot or c > 1").select("node", "pn", "shingle", (F.col("hot") | (F.col("c") > FREQUENT)).alias("frequent"))
-    return _signed(shared.groupBy("node").agg(F.collect_list(F.struct("pn", "shingle", "frequent")).alias("s")).select("node", "s.pn", "s.shingle", "s.frequent"))
+    shared = counted.where("hot or c > 1").select("node", "place", "shingle", (F.col("hot") | (F.col("c") > FREQUENT)).alias("frequent"))
+    by_node = shared.groupBy("node").agg(F.collect_list(F.struct("place", "shingle", "frequent")).alias("s"))
+    sized = classes.select(F.col("node").alias("_node"), "n", F.size("prefix").alias("read"), "judged")
+    return _signed(by_node.join(sized, F.col("node") == F.col("_node")).select("node", "n", "read", "judged", "s.place", "s.shingle", "s.frequent"))
 
 
 def _fits(a: Column, b: Column) -> Column:
@@ -284,10 +298,6 @@ def _verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "a bigint, b bigint, linked boolean")
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-components")
-
-
 def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """The buckets that still hold nodes of different components, with each node's component."""
     now = buckets.join(roots, F.col("node") == F.col("u"), "left").select("sig", "node", "n", "lone", F.coalesce("root", "node").alias("comp"))
@@ -295,16 +305,33 @@ def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(now.join(mixed, F.col("sig") == F.col("_sig"), "left_semi"), "jaccard-open")
 
 
+def _enough(a: str, b: str, shared: Column) -> Column:
+    """Whether two sets with so many shared single signatures can link: whichever prefix ends first, its set lacks its other rare shingles."""
+    most = F.greatest(F.col(f"{a}n") - F.col(f"{a}rare"), F.col(f"{b}n") - F.col(f"{b}rare")) + shared
+    return (100 + LEAST) * most >= LEAST * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
+def _pairs_of_singles(singles: DataFrame) -> DataFrame:
+    """a, b of the buckets of single shingles, FREQUENT members at most, that share enough of them."""
+    x, y = (singles.select(F.col("sig").alias(f"{s}sig"), F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("rare").alias(f"{s}rare")) for s in "ab")
+    both = x.join(y, (F.col("asig") == F.col("bsig")) & (F.col("a") < F.col("b")) & _fits(F.col("an"), F.col("bn")))
+    counted = both.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(k).alias(k) for k in ("an", "bn", "arare", "brare")])
+    return counted.where(_enough("a", "b", F.col("c"))).select("a", "b")
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, roots): rows rid, doc_id, n, key of every document; classes key, node, first (its smallest doc_id); roots u, root of classes' nodes that aren't their component's smallest."""
+    """(rows, classes, roots): rows rid, doc_id, n, key of every document; classes key, node, first (its smallest doc_id); roots u, root of classes' nodes that a link touches."""
     rows = materialize(shingled(docs).withColumn("rid", F.monotonically_increasing_id()), "jaccard-rows")
     classes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first")), "jaccard-classes")
     copies = materialize(rows.where("n > 0").select("key", "rid").join(classes.select("key", "node"), "key").where("rid <> node").select("rid"), "jaccard-copies")
     single = rows.where("n > 0").join(small(copies), "rid", "left_anti")
-    signed = materialize(_buckets(single.select(F.col("rid").alias("node"), "n", "prefix")), "jaccard-signed")
-    twice = signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select(F.col("sig").alias("_sig"))
-    buckets = materialize(signed.join(twice, F.col("sig") == F.col("_sig"), "left_semi"), "jaccard-buckets")
-    wanted = buckets.select("node").distinct().join(rows.select(F.col("rid"), "doc_id", "key"), F.col("node") == F.col("rid")).select("node", "doc_id", "key")
+    signed = materialize(_signatures(single.select(F.col("rid").alias("node"), "n", "judged", "prefix")), "jaccard-signed")
+    listed = materialize(_pairs_of_singles(signed.where("not combined")), "jaccard-listed")
+    combined = signed.where("combined").drop("combined", "rare")
+    twice = combined.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select(F.col("sig").alias("_sig"))
+    buckets = materialize(combined.join(twice, F.col("sig") == F.col("_sig"), "left_semi"), "jaccard-buckets")
+    active = listed.select(F.col("a").alias("_node")).union(listed.select("b")).union(buckets.select("node")).distinct()
+    wanted = active.join(rows.select("rid", "doc_id", "key"), F.col("_node") == F.col("rid")).select(F.col("rid").alias("node"), "doc_id", "key")
     hashes = materialize(_sets_again(docs, materialize(wanted, "jaccard-wanted")), "jaccard-sets")
 
     checked: DataFrame | None = None
@@ -314,7 +341,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         rank = F.struct("lone", "node", "n", "comp") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)).alias("lone"), "node", "n", "comp")
         leaders = todo.groupBy("sig").agg(F.min(rank).alias("l")).select(F.col("sig").alias("_sig"), F.col("l.node").alias("a"), F.col("l.n").alias("an"), F.col("l.comp").alias("acomp"))
         stars = todo.join(leaders, F.col("sig") == F.col("_sig")).where((F.col("comp") != F.col("acomp")) & _fits(F.col("n"), F.col("an"))).select("a", F.col("node").alias("b")).distinct()
-        checked, roots, todo = _round(stars, checked, roots, hashes, todo)
+        pairs = stars.unionByName(listed).distinct() if r == 0 else stars
+        checked, roots, left = _round(pairs, checked, roots, hashes, todo)
+        if left is None:
+            break
+        todo = left
         if todo.isEmpty():
             return rows, classes, roots
     x, y = todo.select("sig", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")), todo.select(F.col("sig").alias("_sig"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
@@ -324,16 +355,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _round(pairs: DataFrame, checked: DataFrame | None, roots: DataFrame | None, hashes: DataFrame, buckets: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Verify pairs that haven't been; all pairs verified so far, the components, and what is left open of the buckets."""
+    """Verify pairs that haven't been; all pairs verified so far, the components, and what is left open of the buckets (None if no pair links)."""
     if checked is not None:
         seen = checked.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
         pairs = pairs.join(seen, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
-    pairs = materialize(pairs, "jaccard-pairs")
-    if roots is not None and pairs.isEmpty():
-        return checked, roots, buckets
-    new = materialize(_verified(pairs, hashes), "jaccard-verified")
+    new = materialize(_verified(materialize(pairs, "jaccard-pairs"), hashes), "jaccard-verified")
+    found = new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if roots is not None and found.isEmpty():
+        return checked.unionByName(new), roots, None
     checked = new if checked is None else checked.unionByName(new)
-    roots = _roots(checked.where("linked"))
+    roots = components(found if roots is None else found.unionByName(roots.select("u", F.col("root").alias("v"))), "jaccard-components")
     return checked, roots, None if buckets is None else _open(buckets, roots)
 
 
