@@ -22,7 +22,7 @@ large, and their pairs are never listed first: in up to LEADER_ROUNDS rounds, wh
 only pairs of different components which haven't been compared are listed and verified, so no link between components is lost; a bucket of near copies
 has none left by then as a rule. A comparison reads the two whole sets, made again from the texts.
 
-Hashes have 64 bits: two different shingles of compared sets are taken as one with a chance of about n * m / 2^64. Equal sets are told by 128-bit hashes.
+Hashes have 64 bits: two different shingles of compared sets are taken as one with a chance of about n * m / 2^64. Equal sets are told by 128-bit hashes, and a class is named by 64 of those bits.
 
 Defined results. Null or blank text: the empty set, linked with nothing. Fewer than 5 words: the whole sequence is the one shingle. Null doc_id: a document
 like others; a component of null ids alone has a null id. Repeated rows: each row has its result. Empty table: no rows. Other columns of the input play no part;
@@ -161,7 +161,7 @@ def signatures(n: int, read: int, judged: int, place: np.ndarray, shingle: np.nd
     place, shingle, frequent: those of the `read` first shingles that other sets hold too; any other is rare and can't be shared.
     """
     need = missing(n) + 1
-    order = np.argsort(place)
+    order = np.unique(place, return_index=True)[1]  # equal rows bring a shingle again
     place, shingle, frequent = place[order], shingle[order].view(np.uint64), frequent[order]
     rare_before = place - np.cumsum(frequent) + frequent
     units = judged - int(frequent[place < judged].sum())
@@ -190,24 +190,41 @@ def signatures(n: int, read: int, judged: int, place: np.ndarray, shingle: np.nd
     return shingle[~frequent].view(np.int64), combined.view(np.int64), read - int(frequent.sum())
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, mark and text (as bytes); doc_id and mark, a hash of the text, name a row, or rows that are equal."""
+    return pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, n, judged, key and prefix (the shingles that are read, in order) of every document."""
-    d = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
+    """doc_id, mark, n, read, judged, key and node (64 bits of the key) of every document."""
+    d = _texts(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(len(s), *prefix_lengths(s), set_key(s)) for s in sets(b.column(2).to_pylist())]
+            n, read, judged, keys = zip(*rows, strict=True) if rows else ([], [], [], [])
+            nodes = [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int32()) for x in (n, read, judged)), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64())], ["doc_id", "mark", "n", "read", "judged", "key", "node"])
+
+    return map_arrow(d, run, f"doc_id {d.schema[0].dataType.simpleString()}, mark bigint, n int, read int, judged int, key binary, node bigint")
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """node and prefix (the shingles that are read, in order) of each of the texts that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, judged, keys, prefixes = [], [], [], []
-            for s in sets(b.column(1).to_pylist()):
-                read, by = prefix_lengths(s)
-                n.append(len(s))
-                judged.append(by)
-                keys.append(set_key(s))
-                prefixes.append(s[:read].view(np.int64))
-            ends = np.cumsum([0, *map(len, prefixes)])
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(judged, pa.int32()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "n", "judged", "key", "prefix"])
+            for start in range(0, b.num_rows, 1000):
+                nodes, prefixes = [], []
+                for s in sets(b.column(0).slice(start, 1000).to_pylist()):
+                    if len(s):
+                        nodes.append(int.from_bytes(set_key(s)[:8], "little", signed=True))
+                        prefixes.append(s[: prefix_lengths(s)[0]].view(np.int64))
+                ends = np.cumsum([0, *map(len, prefixes)])
+                flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["node", "prefix"])
 
-    return map_arrow(d, run, f"doc_id {d.schema[0].dataType.simpleString()}, n int, judged int, key binary, prefix array<bigint>")
+    return map_arrow(texts.select("text"), run, "node bigint, prefix array<bigint>")
 
 
 SIGNED = "sig bigint, combined boolean, node bigint, n int, rare int, lone int"
@@ -233,19 +250,24 @@ def _signed(shared: DataFrame) -> DataFrame:
     return map_arrow(shared, run, SIGNED)
 
 
-def _signatures(classes: DataFrame) -> DataFrame:
-    """SIGNED of the sets node, n, judged, prefix; signatures without a partner may be among them."""
-    spread = classes.select("node", F.posexplode("prefix").alias("place", "shingle"))
-    seen = spread.where(F.pmod(F.xxhash64("node"), F.lit(HOT_SAMPLE)) == 0).groupBy("shingle").count().where(F.col("count") >= HOT_SEEN)
-    hot = F.broadcast(materialize(seen.orderBy(F.desc("count"), "shingle").limit(HOT_MOST).select(F.col("shingle").alias("_hot")), "jaccard-hot"))
-    spread = spread.join(hot, F.col("shingle") == F.col("_hot"), "left")
-    is_hot = F.col("_hot").isNotNull()
-    # Hot shingles are frequent without a count: they are dealt by node.
-    dealt = spread.select("node", "place", "shingle", F.when(is_hot, F.xxhash64("node")).otherwise(F.col("shingle")).alias("deal"), is_hot.alias("hot"))
-    counted = dealt.withColumn("c", F.count("*").over(Window.partitionBy("deal")))
-    shared = counted.where("hot or c > 1").select("node", "place", "shingle", (F.col("hot") | (F.col("c") > FREQUENT)).alias("frequent"))
+def _signatures(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """SIGNED of the sets of `texts` (mark, text), a text of each class; signatures without a partner may be among them.
+
+    What is shuffled of a set are its prefix's shingles, in three numbers each: `deal` (the shingle, or for hot ones, which are frequent without a count, a hash of
+    the node), the node, and `tag` (the place, and for a hot shingle its number among those).
+    """
+    sample = _prefixes(texts.where(F.pmod("mark", F.lit(HOT_SAMPLE)) == 0)).select(F.explode("prefix").alias("shingle"))
+    seen = sample.groupBy("shingle").count().where(F.col("count") >= HOT_SEEN).orderBy(F.desc("count"), "shingle").limit(HOT_MOST)
+    hot = materialize(seen.select(F.col("shingle").alias("_hot"), F.row_number().over(Window.orderBy("shingle")).alias("number")), "jaccard-hot")  # HOT_MOST rows at most
+    spread = _prefixes(texts).select("node", F.posexplode("prefix").alias("place", "shingle"))
+    spread = spread.join(F.broadcast(hot), F.col("shingle") == F.col("_hot"), "left")
+    number = F.col("number").cast("long")
+    dealt = spread.select("node", F.when(number.isNull(), F.col("shingle")).otherwise(F.xxhash64("node")).alias("deal"), (F.shiftleft(F.coalesce(number, F.lit(0).cast("long")), 32) + F.col("place")).alias("tag"))
+    counted = dealt.withColumn("c", F.count("*").over(Window.partitionBy("deal"))).withColumn("number", F.shiftright("tag", 32))
+    shared = counted.where("number > 0 or c > 1").join(F.broadcast(hot.withColumnRenamed("number", "_number")), F.col("number") == F.col("_number"), "left")
+    shared = shared.select("node", F.pmod("tag", F.lit(1 << 32)).alias("place"), F.coalesce("_hot", "deal").alias("shingle"), ((F.col("number") > 0) | (F.col("c") > FREQUENT)).alias("frequent"))
     by_node = shared.groupBy("node").agg(F.collect_list(F.struct("place", "shingle", "frequent")).alias("s"))
-    sized = classes.select(F.col("node").alias("_node"), "n", F.size("prefix").alias("read"), "judged")
+    sized = classes.select(F.col("node").alias("_node"), "n", "read", "judged")
     return _signed(by_node.join(sized, F.col("node") == F.col("_node")).select("node", "n", "read", "judged", "s.place", "s.shingle", "s.frequent"))
 
 
@@ -255,19 +277,18 @@ def _fits(a: Column, b: Column) -> Column:
 
 
 def _sets_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, hashes (sorted, binary) of wanted nodes (node, doc_id, key), from the texts."""
-    ids = small(wanted.select(F.col("doc_id").alias("_id")).distinct())
-    d = pick(docs, "doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("text").cast("binary").alias("text"))
+    """node, hashes (sorted, binary) of the wanted nodes (node, _id, _mark), from the texts."""
+    texts = _texts(docs).join(small(wanted.select("_id", "_mark")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 found = list(sets(b.column(0).slice(s, 500).to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "hashes"])
+                nodes = [int.from_bytes(set_key(x)[:8], "little", signed=True) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "hashes"])
 
-    made = map_arrow(d, run, "key binary, hashes binary")
-    # Rows that repeat an id may bring a set more than once.
-    return made.join(small(wanted.select("key", "node")), "key").dropDuplicates(["node"]).select("node", "hashes")
+    # Equal rows bring a set more than once.
+    return map_arrow(texts, run, "node bigint, hashes binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -320,19 +341,23 @@ def _pairs_of_singles(singles: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, roots): rows rid, doc_id, n, key of every document; classes key, node, first (its smallest doc_id); roots u, root of classes' nodes that a link touches."""
-    rows = materialize(shingled(docs).withColumn("rid", F.monotonically_increasing_id()), "jaccard-rows")
-    classes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first")), "jaccard-classes")
-    copies = materialize(rows.where("n > 0").select("key", "rid").join(classes.select("key", "node"), "key").where("rid <> node").select("rid"), "jaccard-copies")
-    single = rows.where("n > 0").join(small(copies), "rid", "left_anti")
-    signed = materialize(_signatures(single.select(F.col("rid").alias("node"), "n", "judged", "prefix")), "jaccard-signed")
+    """(rows, classes, roots): rows doc_id, n, key of every document; classes key, node, first (its smallest doc_id); roots u, root of classes' nodes that a link touches."""
+    rows = materialize(shingled(docs), "jaccard-rows")
+    some = rows.where("n > 0")
+    classes = some.groupBy("key", "node", "n", "read", "judged").agg(F.min(F.struct("doc_id", "mark")).alias("pick"), F.min("doc_id").alias("first"))
+    classes = materialize(classes, "jaccard-classes")
+    picked = classes.select(F.col("key").alias("_key"), "pick")
+    copies = some.join(picked, F.col("key") == F.col("_key")).where(F.struct("doc_id", "mark") != F.col("pick")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    texts, copies = _texts(docs), small(materialize(copies, "jaccard-copies"))
+    texts = texts.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_anti")
+    signed = materialize(_signatures(texts.select("mark", "text"), classes), "jaccard-signed")
     listed = materialize(_pairs_of_singles(signed.where("not combined")), "jaccard-listed")
     combined = signed.where("combined").drop("combined", "rare")
     twice = combined.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select(F.col("sig").alias("_sig"))
     buckets = materialize(combined.join(twice, F.col("sig") == F.col("_sig"), "left_semi"), "jaccard-buckets")
     active = listed.select(F.col("a").alias("_node")).union(listed.select("b")).union(buckets.select("node")).distinct()
-    wanted = active.join(rows.select("rid", "doc_id", "key"), F.col("_node") == F.col("rid")).select(F.col("rid").alias("node"), "doc_id", "key")
-    hashes = materialize(_sets_again(docs, materialize(wanted, "jaccard-wanted")), "jaccard-sets")
+    wanted = materialize(active.join(classes, F.col("_node") == F.col("node")).select("node", F.col("pick.doc_id").alias("_id"), F.col("pick.mark").alias("_mark")), "jaccard-wanted")
+    hashes = materialize(_sets_again(docs, wanted), "jaccard-sets")
 
     checked: DataFrame | None = None
     roots, todo = None, buckets.withColumn("comp", F.col("node"))
