@@ -1,9 +1,180 @@
 """The engine's queries by name, with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from quarry.functions import text as T
+from quarry.operators import audit, chunking, evaluation, retrieval, stats, structure
+from quarry.streaming.incremental import new_chunks
+
+Query = Callable[[SparkSession, str], DataFrame]
+NOISE_HEAD, NOISE_TAIL = "a\\b\tc\r\n-----\r\n\r\n\r\n  x  y \n\n\n\n", " \t\nz "
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """documents as chunking reads them; the source is the title."""
+    return _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("document_title"), F.lit(None).cast("string").alias("document_link"), "text")
+
+
+def legal_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each nation: a chapter line for each market segment, an article line for each customer, a clause line for each order."""
+    for t in ("customer", "orders"):
+        _table(spark, d, t).createOrReplaceTempView(f"legal_{t}")
+    return spark.sql("""
+      WITH c AS (SELECT *, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS ch, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS ar FROM legal_customer),
+      f AS (SELECT c_nationkey, c_mktsegment, min(ch) AS ch, min(ar) AS ar FROM c GROUP BY c_nationkey, c_mktsegment),
+      o AS (SELECT c_nationkey, ar, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS cl, o_orderkey, o_orderpriority FROM legal_orders JOIN c ON o_custkey = c_custkey),
+      l AS (SELECT c_nationkey AS d, ar, 0 AS k, 0 AS cl, concat('Chương ', ch, '. ', c_mktsegment) AS line FROM f
+        UNION ALL SELECT c_nationkey, ar, 1, 0, concat('Điều ', ar, '. ', c_name) FROM c
+        UNION ALL SELECT c_nationkey, ar, 2, cl, concat(cl, '. Đơn hàng ', o_orderkey, ' ', o_orderpriority) FROM o)
+      SELECT CAST(d AS STRING) AS document_id, CAST(NULL AS STRING) AS document_title, CAST(NULL AS STRING) AS document_link,
+        array_join(transform(array_sort(collect_list(struct(ar, k, cl, line))), x -> x.line), '\n') AS text FROM l GROUP BY d
+    """)
+
+
+LEGAL = """
+  c AS (SELECT *, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS ch, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS ar FROM customer),
+  f AS (SELECT c_nationkey, c_mktsegment, min(ch) AS ch, min(ar) AS ar FROM c GROUP BY 1, 2),
+  o AS (SELECT c_nationkey, ar, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS cl, o_orderkey, o_orderpriority FROM orders JOIN c ON o_custkey = c_custkey),
+  l AS (SELECT c_nationkey AS d, ar, 0 AS k, 0 AS cl, 'chapter' AS level, CAST(ch AS VARCHAR) AS number, c_mktsegment AS title, concat('Chương ', ch, '. ', c_mktsegment) AS line FROM f
+    UNION ALL SELECT c_nationkey, ar, 1, 0, 'article', CAST(ar AS VARCHAR), c_name, concat('Điều ', ar, '. ', c_name) FROM c
+    UNION ALL SELECT c_nationkey, ar, 2, cl, 'clause', CAST(cl AS VARCHAR), concat('Đơn hàng ', o_orderkey, ' ', o_orderpriority), concat(cl, '. Đơn hàng ', o_orderkey, ' ', o_orderpriority) FROM o),
+  p AS (SELECT *, CAST(sum(length(line) + 1) OVER w - length(line) - 1 AS INTEGER) AS s, CAST(sum(length(line) + 1) OVER (PARTITION BY d) - 1 AS INTEGER) AS n FROM l WINDOW w AS (PARTITION BY d ORDER BY ar, k, cl ROWS UNBOUNDED PRECEDING)),
+  u AS (SELECT CAST(d AS VARCHAR) AS document_id, level, number, title, s AS char_start, lead(s, 1, n) OVER (PARTITION BY d, level ORDER BY s) AS char_end, k FROM p)
+"""
+HARD = "WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, length(text) AS n FROM documents WHERE text <> ''), m AS (SELECT *, CASE WHEN n <= 6000 THEN 1 ELSE n // 5000 + CASE WHEN n % 5000 > 1000 THEN 1 ELSE 0 END END AS k FROM n), c AS (SELECT document_id, n, k, unnest(range(k)) AS i FROM m), fallback AS (SELECT document_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 5000 AS INTEGER) AS char_start, CAST(CASE WHEN i = k - 1 THEN n ELSE (i + 1) * 5000 END AS INTEGER) AS char_end, CAST(CASE WHEN i = k - 1 THEN n ELSE (i + 1) * 5000 END - i * 5000 AS INTEGER) AS char_length, CASE WHEN n <= 6000 THEN 'paragraph' ELSE 'hard_char' END AS chunk_type, true AS is_split FROM c)"""
+TOKENS = "[x FOR x IN string_split_regex(lower({}), '\\s+') IF x <> '']"
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """Documents without structure."""
+    return docs.withColumn("units", F.array().cast("array<struct<level:string,rank:int,number:string,title:string,char_start:int,char_end:int>>")).withColumn("fingerprint", F.array().cast("array<string>"))
+
+
+def _fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of `documents` taken as texts without structure, unpruned."""
+    return chunking.records(chunking.with_chunks(_plain(_documents(spark, d))), prune=False)
+
+
+def _queries_table(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+
+
+def _qv(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse(retrieval.dense(_qv(spark, d), _vectors(spark, d)), retrieval.bm25(_queries_table(spark, d), _chunks(spark, d)))
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of a query's label are its answers."""
+    e = _table(spark, d, "embeddings")
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label").join(e.groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("answer")), "label").select("qid", "answer")
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.dense(_qv(spark, d), _vectors(spark, d), 20).select("qid", "rank", F.col("chunk_id").alias("doc_id"))
+
+
+def _faulty(spark: SparkSession, d: str) -> DataFrame:
+    c = _fallback(spark, d)
+    odd = F.pmod(F.col("document_id").cast("long"), F.lit(17))
+    return c.withColumn("char_length", F.when(odd == 3, F.col("char_length") + 1).otherwise(F.col("char_length"))).withColumn("char_start", F.when(odd == 5, -1).otherwise(F.col("char_start"))).withColumn("chunk_index", F.when(odd == 7, F.col("chunk_index") + 1).otherwise(F.col("chunk_index"))).withColumn("raw_text", F.when(odd == 9, F.concat(F.lit("x"), F.expr("substring(raw_text, 2)"))).otherwise(F.col("raw_text")))
+
+
+BM25_SQL = f"""
+t AS (SELECT doc_id AS chunk_id, {TOKENS.format('text')} AS t FROM documents),
+cs AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
+post AS (SELECT term, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM t) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), ri AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, cs),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM ri) ELSE raw END AS idf FROM ri),
+q AS (SELECT qid, term, count(*) AS m FROM (SELECT item_id AS qid, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+bs AS (SELECT qid, chunk_id, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN idf USING (term) JOIN post USING (term), cs GROUP BY 1, 2),
+sparse AS (SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bs WHERE score > 0)
+"""
+DENSE_SQL = """
+ds AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0),
+dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM ds)
+"""
+TRUTH_SQL = "truth AS (SELECT q.vec_id AS qid, list(c.vec_id ORDER BY c.vec_id) AS answer FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 100 = 0 GROUP BY 1)"
+FUSED_SQL = """
+b AS (SELECT qid, chunk_id, rank AS d, NULL AS s FROM dense WHERE rank <= 60 UNION ALL SELECT qid, chunk_id, NULL, rank FROM sparse WHERE rank <= 60),
+fr AS (SELECT qid, chunk_id, max(d) AS d, max(s) AS s FROM b GROUP BY 1, 2), fs AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(1.0::DOUBLE / (60 + s), 0), 9) AS score FROM fr),
+fused AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, d NULLS LAST, s NULLS LAST) AS INTEGER) AS rank, chunk_id, score FROM fs)
+"""
+
+
+def _catalog() -> dict[str, tuple[Query, str | None]]:
+    q: dict[str, tuple[Query, str | None]] = {}
+    noisy = F.concat(F.lit(NOISE_HEAD), F.col("text"), F.lit(NOISE_TAIL))
+    lit = lambda s: "'" + "' || chr(9) || '".join("' || chr(13) || '".join("' || chr(10) || '".join(x.split("\n")) if "\n" in x else x for x in y.split("\r")) for y in s.split("\t")) + "'"
+    chain = f"replace({lit(NOISE_HEAD)} || text || {lit(NOISE_TAIL)}, chr(92), '')"
+    for p, r in (("\\r\\n?", "chr(10)"), ("\\t", "' '"), ("(?m)^[=\\-_*]{3,}\\s*$", "''"), ("[^\\S\\n]+", "' '"), ("(?m)^[ \\t]+|[ \\t]+$", "''"), ("\\n{3,}", "chr(10) || chr(10)"), ("^\\s+|\\s+$", "''")):
+        chain = f"regexp_replace({chain}, '{p}', {r}, 'g')"
+    q["clean_documents"] = (lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(T.clean(noisy, normalize=False)).alias("digest"), F.length(T.clean(noisy, normalize=False)).cast("long").alias("n")), f"SELECT doc_id, md5({chain}) AS digest, CAST(length({chain}) AS BIGINT) AS n FROM documents")
+    q["nfc_documents"] = (lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(T.nfc(F.concat("text", F.lit("é")))).alias("digest")), "SELECT doc_id, md5(nfc_normalize(text || 'e' || chr(769))) AS digest FROM documents")
+    q["empty_filter"] = (lambda s, d: _table(s, d, "documents").where(T.strip(F.col("text")) != "").select("doc_id"), "SELECT doc_id FROM documents WHERE trim(text, ' ' || chr(10)) <> ''")
+    q["fingerprint"] = (lambda s, d: legal_corpus(s, d).select("document_id", F.array_join(structure.fingerprint(F.col("text")), ",").alias("levels")), f"WITH {LEGAL} SELECT document_id, string_agg(level, ',' ORDER BY k) AS levels FROM (SELECT DISTINCT document_id, level, k FROM u) GROUP BY 1")
+    q["structural_units"] = (lambda s, d: structure.with_units(legal_corpus(s, d)).select("document_id", F.inline("units")).drop("rank"), f"WITH {LEGAL} SELECT document_id, level, number, title, CASE WHEN char_start = 0 THEN 0 ELSE char_start END AS char_start, char_end FROM u")
+    q["context_asof"] = (lambda s, d: structure.with_units(legal_corpus(s, d)).select("document_id", "units", F.explode("units").alias("x")).select("document_id", F.col("x.char_start").alias("char_start"), chunking.context_at(F.col("units"), F.col("x.char_start"))["chapter_number"].alias("chapter_number")), f"WITH {LEGAL} SELECT document_id, char_start, last_value(CASE WHEN level = 'chapter' THEN number END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY char_start ROWS UNBOUNDED PRECEDING) AS chapter_number FROM u")
+    q["owning_unit"] = (lambda s, d: structure.with_units(legal_corpus(s, d)).select("document_id", "units", F.explode(F.filter("units", lambda u: u["level"] == "clause")).alias("x")).select("document_id", F.col("x.char_start").alias("char_start"), F.element_at(F.filter("units", lambda u: (u["level"] == "article") & (u["char_start"] <= F.col("x.char_start"))), -1)["number"].alias("article")), f"WITH {LEGAL} SELECT c.document_id, c.char_start, a.number AS article FROM (SELECT * FROM u WHERE level = 'clause') c ASOF JOIN (SELECT * FROM u WHERE level = 'article') a ON c.document_id = a.document_id AND c.char_start >= a.char_start")
+    q["chunk_structured"] = (lambda s, d: chunking.chunk(legal_corpus(s, d), 150, 150, 200), None)
+    cols = ("document_id", "chunk_index", "char_start", "char_end", "char_length", "chunk_type", "is_split")
+    q["chunk_fallback"] = (lambda s, d: _fallback(s, d).select(*cols), f"{HARD} SELECT * FROM fallback")
+    q["chunk_lines"] = (lambda s, d: chunking.records(chunking.with_line_chunks(_plain(_documents(s, d)), 500, 500, 600), prune=False).select("document_id", "chunk_index", "char_start", "char_end"), None)
+    q["chunk_enriched_text"] = (lambda s, d: _fallback(s, d).select("chunk_id", F.md5("text").alias("digest")), f"{HARD} SELECT printf('%s_chunk_%04d', document_id, chunk_index) AS chunk_id, md5('[Văn bản: ' || source || ']' || chr(10) || substr(text, char_start + 1, char_length)) AS digest FROM fallback JOIN documents ON CAST(doc_id AS VARCHAR) = document_id")
+    q["prune_short"] = (lambda s, d: chunking.prune_short(_chunks(s, d)).select("chunk_id"), "SELECT doc_id AS chunk_id FROM documents WHERE len([x FOR x IN string_split_regex(text, '\\s+') IF x <> '']) >= 5")
+    q["mark_split"] = (lambda s, d: chunking.mark_split(_table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), F.array(F.col("l_suppkey").cast("string")).alias("articles"), F.array().cast("array<string>").alias("clauses"), F.lit(False).alias("is_split"))).select("chunk_id", "is_split"), "WITH x AS (SELECT l_orderkey || '-' || l_linenumber AS chunk_id, count(*) OVER (PARTITION BY l_orderkey, l_suppkey) > 1 AS b FROM lineitem) SELECT chunk_id, bool_or(b) OVER (PARTITION BY chunk_id) AS is_split FROM x")
+    q["chunk_stats"] = (lambda s, d: stats.length_stats(_fallback(s, d)), f"{HARD} SELECT min(char_length) AS min, max(char_length) AS max, round(avg(char_length), 6) AS mean, round(quantile_cont(char_length, 0.5), 6) AS median, round(quantile_cont(char_length, 0.9), 6) AS p90, round(quantile_cont(char_length, 0.95), 6) AS p95, round(quantile_cont(char_length, 0.99), 6) AS p99 FROM fallback")
+    q["chunks_per_doc"] = (lambda s, d: stats.chunks_per_document(_fallback(s, d)), f"{HARD}, n2 AS (SELECT count(*) AS n FROM fallback GROUP BY document_id) SELECT round(avg(n), 6) AS mean, quantile_cont(n, 0.5)::DOUBLE AS median, max(n) AS max FROM n2")
+    for name, is_audit, fourth, fifth in (("length_buckets", False, "x >= 5000 AND x < 5500", "x >= 5500 AND x <= 6000"), ("length_buckets_audit", True, "x >= 5000 AND x <= 5500", "x > 5500 AND x <= 6000")):
+        tests = {"lt_1000": "x < 1000", "lt_3000": "x >= 1000 AND x < 3000", "lt_5000": "x >= 3000 AND x < 5000", "to_5500": fourth, "to_6000": fifth, "over_6000": "x > 6000"}
+        q[name] = (lambda s, d, a=is_audit: stats.length_buckets(_fallback(s, d), audit=a), f"{HARD}, x AS (SELECT char_length AS x FROM fallback) SELECT " + ", ".join(f"count(*) FILTER ({t}) AS {n}" for n, t in tests.items()) + " FROM x")
+    q["bucket_percent"] = (lambda s, d: _fallback(s, d).groupBy("chunk_type").count().withColumn("percent", F.round(100 * F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))), 6)).select("chunk_type", "percent"), f"{HARD} SELECT chunk_type, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM fallback GROUP BY 1")
+    q["duplicate_ids"] = (lambda s, d: stats.duplicates(_table(s, d, "conversations"), "conv_id"), "SELECT count(*) AS total, count(conv_id) - count(DISTINCT conv_id) AS duplicates, count(DISTINCT conv_id) AS unique_ids FROM conversations")
+    q["duplicate_text"] = (lambda s, d: stats.duplicates(_table(s, d, "documents"), "text"), "SELECT count(*) AS total, count(nullif(text, '')) - count(DISTINCT nullif(text, '')) AS duplicates, count(DISTINCT nullif(text, '')) AS unique_ids FROM documents")
+    q["audit_faults"] = (lambda s, d: audit.audit(_faulty(s, d), _documents(s, d)).groupBy("layer", "message").count(), None)
+    q["audit_clean"] = (lambda s, d: audit.audit(_fallback(s, d), _documents(s, d)), f"{HARD} SELECT 'x' AS layer, 'x' AS chunk_id, 'x' AS message FROM fallback WHERE false")
+    q["audit_structured"] = (lambda s, d: audit.audit(chunking.chunk(legal_corpus(s, d), 150, 150, 200, prune=False), structure.with_units(legal_corpus(s, d))), "SELECT 'x' AS layer, 'x' AS chunk_id, 'x' AS message FROM documents WHERE false")
+    q["tokenize_counts"] = (lambda s, d: _chunks(s, d).select("chunk_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n")), f"SELECT doc_id AS chunk_id, CAST(len({TOKENS.format('text')}) AS BIGINT) AS n FROM documents")
+    q["bm25_stats"] = (lambda s, d: retrieval.term_stats(retrieval.postings(_chunks(s, d)), retrieval.corpus_stats(_chunks(s, d))).select("term", "df", F.round("idf", 6).alias("idf")), f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
+    q["bm25_topk"] = (lambda s, d: retrieval.bm25(_queries_table(s, d), _chunks(s, d), 5), f"WITH {BM25_SQL} SELECT qid, rank, chunk_id, score FROM sparse WHERE rank <= 5")
+    q["l2_normalize"] = (lambda s, d: _vectors(s, d).select("chunk_id", F.round(F.aggregate(retrieval.normalized(F.transform("v", lambda x: 3 * x)), F.lit(0.0), lambda a, x: a + x), 6).alias("total")), "SELECT vec_id AS chunk_id, round(list_sum([CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS DOUBLE) * y FOR y IN embedding])) FOR x IN embedding]), 6) AS total FROM embeddings")
+    q["dense_topk"] = (lambda s, d: retrieval.dense(_qv(s, d), _vectors(s, d), 3), f"WITH {DENSE_SQL} SELECT qid, rank, chunk_id, score FROM dense WHERE rank <= 3")
+    q["dense_payload"] = (lambda s, d: retrieval.dense(_qv(s, d), _vectors(s, d), 3).join(_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source"), "chunk_id", "left"), f"WITH {DENSE_SQL} SELECT qid, rank, chunk_id, score, lang, source FROM dense LEFT JOIN documents ON doc_id = chunk_id WHERE rank <= 3")
+    q["hybrid_rrf"] = (_hybrid, f"WITH {BM25_SQL}, {DENSE_SQL}, {FUSED_SQL} SELECT * FROM fused WHERE rank <= 5")
+    q["rerank_jaccard"] = (lambda s, d: retrieval.rerank(_queries_table(s, d), _hybrid(s, d), _chunks(s, d), 3), f"WITH {BM25_SQL}, {DENSE_SQL}, {FUSED_SQL}, p AS (SELECT f.qid, chunk_id, rank AS before, list_distinct({TOKENS.format('b.text')}) AS x, list_distinct({TOKENS.format('o.text')}) AS y FROM fused f JOIN documents o ON o.doc_id = chunk_id JOIN benchmark b ON b.item_id = f.qid WHERE rank <= 5), r AS (SELECT *, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS score FROM p), z AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS INTEGER) AS rank, chunk_id, score FROM r) SELECT * FROM z WHERE rank <= 3")
+    q["first_k_docs"] = (lambda s, d: evaluation.first_documents(_hits(s, d)), f"WITH {DENSE_SQL} SELECT qid, chunk_id AS doc_id, rank AS place FROM dense WHERE rank <= 5")
+    q["recall_at_k"] = (lambda s, d: _truth(s, d).join(evaluation.answers(_truth(s, d), _hits(s, d), 5).withColumnRenamed("answer", "found"), "qid").select("qid", F.round(evaluation.recall(F.col("found"), F.col("answer")), 6).alias("recall")), f"WITH {DENSE_SQL}, {TRUTH_SQL}, g AS (SELECT qid, list(chunk_id) AS found FROM dense WHERE rank <= 5 GROUP BY 1) SELECT qid, round(len(list_intersect(found, answer)) / len(answer), 6) AS recall FROM truth JOIN g USING (qid)")
+    q["mrr"] = (lambda s, d: evaluation.reciprocal_rank(_hits(s, d).where("rank > 1"), _truth(s, d)).select("qid", F.round("rr", 6).alias("rr")), f"WITH {DENSE_SQL}, {TRUTH_SQL} SELECT t.qid, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM truth t LEFT JOIN dense h ON h.qid = t.qid AND rank BETWEEN 2 AND 20 AND list_contains(answer, chunk_id) GROUP BY 1")
+    q["eval_macro_f2"] = (lambda s, d: evaluation.macro(_truth(s, d), _hits(s, d)).select(*[F.round(c, 6).alias(c) for c in ("recall", "precision", "f2")]), f"WITH {DENSE_SQL}, {TRUTH_SQL}, g AS (SELECT qid, list(chunk_id) AS found FROM dense WHERE rank <= 5 GROUP BY 1), m AS (SELECT avg(len(list_intersect(found, answer)) / len(answer)) AS r, avg(len(list_intersect(found, answer)) / len(found)) AS p FROM truth JOIN g USING (qid)) SELECT round(r, 6) AS recall, round(p, 6) AS precision, round(CASE WHEN 4 * p + r > 0 THEN 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS f2 FROM m")
+    q["submission_rows"] = (lambda s, d: evaluation.answers(_table(s, d, "benchmark").select(F.col("item_id").alias("qid")), _hits(s, d)).select("qid", F.array_join(F.transform("answer", lambda x: x.cast("string")), ",").alias("answer")), f"WITH {DENSE_SQL} SELECT item_id AS qid, coalesce(string_agg(chunk_id, ',' ORDER BY rank), '') AS answer FROM benchmark LEFT JOIN dense ON qid = item_id AND rank <= 5 GROUP BY 1")
+    q["resume_antijoin"] = (lambda s, d: new_chunks(_chunks(s, d).select("chunk_id"), _table(s, d, "labels").select(F.col("doc_id").alias("chunk_id"))), "SELECT doc_id AS chunk_id FROM documents ANTI JOIN labels USING (doc_id)")
+    q["json_items"] = (lambda s, d: _table(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value")), "SELECT event_id, k AS key, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+    return q
+
+
+def queries() -> dict[str, Query]:
+    return {name: run for name, (run, _) in _catalog().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _catalog().items() if sql}
