@@ -149,5 +149,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, model: QualityModel | None = N
     model = model or fit(docs, labels)
     cols = docs.columns
     inner = docs.select(F.struct(*cols).alias("_row"), F.col("text"))
-    d = base_counts(inner).withColumn("_kept", ~F.col("base_failed") & (model.score(F.col("_h")) >= model.threshold))
+    kept = ~F.col("base_failed") & (model.score(F.col("_h")) >= model.threshold)
+    # The id only marks the column as non-deterministic: else the optimizer moves the filter below the projections and writes out the nested
+    # arrays at each of their uses, also within lambdas, which then compute them anew for every element.
+    d = base_counts(inner).withColumn("_kept", F.when(F.monotonically_increasing_id() >= 0, kept))
     return d.where("_kept").select("_row.*")
