@@ -160,6 +160,17 @@ def test_quality_counts(spark, texts):
         assert not (r.base_failed and r.kept)
 
 
+def test_keep_good_agrees_with_judge(spark, texts):
+    """Also on texts whose repeated windows are many; clashing names stay, and the optimizer must not inline the nested arrays into the filter."""
+    repeated = " ".join(f"w{i % 150}" for i in range(3000))
+    docs = make(spark, [*texts, repeated, None]).withColumn("kept", F.lit("own"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    kept = sorted(r.doc_id for r in quality.judge(docs, labels).collect() if r.kept)
+    out = quality.keep_good(docs, labels)
+    assert out.columns == docs.columns
+    assert kept and sorted(r.doc_id for r in out.collect()) == kept
+
+
 def test_byte_bpe(spark, texts):
     got = {r.doc_id: r for r in byte_bpe.digests(make(spark, texts)).collect()}
     enc = byte_bpe.encoding(byte_bpe.default_ranks())
