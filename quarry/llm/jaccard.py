@@ -58,6 +58,8 @@ HOT_SAMPLE, HOT_SEEN, HOT_MOST = 32, 8, 100_000
 SLICE = 1 << 20
 #: Members that a task compares with a leader in a row before the leader's set is sent again.
 STAR = 1_000
+#: The columns of a set's sketch, 64 bits each.
+SKETCH = ("s0", "s1", "s2", "s3")
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -134,6 +136,11 @@ def set_key(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """64 bits for each of SKETCH: whether an even or odd number of the shingles falls on each bit."""
+    return np.packbits((np.bincount((s & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1).astype(np.uint8)).view(np.int64)
+
+
 def missing(n: int) -> int:
     """Shingles of a set of n at most that a linked set doesn't hold: at LEAST of 100, the intersection has LEAST * n / 100 or more."""
     return n - -(-LEAST * n // 100)
@@ -276,8 +283,13 @@ def _fits(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= LEAST * F.greatest(a, b)
 
 
+def _near(differ: Column, sizes: Column) -> Column:
+    """Whether sets of these sizes together, of which so many shingles at least are in one only, can link."""
+    return (100 + LEAST) * differ <= (100 - LEAST) * sizes
+
+
 def _sets_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, hashes (sorted, binary) of the wanted nodes (node, _id, _mark), from the texts."""
+    """node, hashes (sorted, binary) and the sketch's columns of the wanted nodes (node, _id, _mark), from the texts."""
     texts = _texts(docs).join(small(wanted.select("_id", "_mark")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,10 +297,11 @@ def _sets_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for s in range(0, b.num_rows, 500):
                 found = list(sets(b.column(0).slice(s, 500).to_pylist()))
                 nodes = [int.from_bytes(set_key(x)[:8], "little", signed=True) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "hashes"])
+                parts = np.array([sketch(x) for x in found], np.int64).reshape(-1, len(SKETCH))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), *(pa.array(c) for c in parts.T)], ["node", "hashes", *SKETCH])
 
     # Equal rows bring a set more than once.
-    return map_arrow(texts, run, "node bigint, hashes binary").dropDuplicates(["node"])
+    return map_arrow(texts, run, "node bigint, hashes binary, " + ", ".join(f"{c} bigint" for c in SKETCH)).dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -340,6 +353,23 @@ def _pairs_of_singles(singles: DataFrame) -> DataFrame:
     return counted.where(_enough("a", "b", F.col("c"))).select("a", "b")
 
 
+def _rest(todo: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b of the buckets' pairs of different components that may link, by their shingles that no other set holds and by their sketches.
+
+    Two sets differ in their lone shingles at least, and in as many shingles as their sketches do in bits. So no two sets link that both have too many lone shingles for
+    their sizes: one of a pair is light, and only light sets meet their whole bucket.
+    """
+    todo = todo.join(sketches, F.col("node") == F.col("_node")).drop("_node").withColumn("light", _near(F.col("lone"), F.col("n")))
+    a = todo.where("light").select(*[F.col(c).alias(f"a_{c}") for c in todo.columns])
+    b = todo.select(*[F.col(c).alias(f"b_{c}") for c in todo.columns])
+    bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))).cast("long") for c in SKETCH), F.lit(0).cast("long"))
+    sizes = F.col("a_n").cast("long") + F.col("b_n")
+    may = (F.col("a_comp") != F.col("b_comp")) & (~F.col("b_light") | (F.col("a_node") < F.col("b_node"))) & _fits(F.col("a_n"), F.col("b_n"))
+    may = may & _near(F.col("a_lone").cast("long") + F.col("b_lone"), sizes) & _near(bits, sizes)
+    both = a.join(b, (F.col("a_sig") == F.col("b_sig")) & may)
+    return both.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, roots): rows doc_id, n, key of every document; classes key, node, first (its smallest doc_id); roots u, root of classes' nodes that a link touches."""
     rows = materialize(shingled(docs), "jaccard-rows")
@@ -373,8 +403,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         todo = left
         if todo.isEmpty():
             return rows, classes, roots
-    x, y = todo.select("sig", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")), todo.select(F.col("sig").alias("_sig"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-    rest = x.join(y, F.col("sig") == F.col("_sig")).where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _fits(F.col("an"), F.col("bn"))).select("a", "b").distinct()
+    rest = materialize(_rest(todo, hashes.select(F.col("node").alias("_node"), *SKETCH)), "jaccard-rest")
     checked, roots, _ = _round(rest, checked, roots, hashes, None)
     return rows, classes, roots
 
