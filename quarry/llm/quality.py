@@ -137,11 +137,21 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows
     return model
 
 
+def _held_up(verdict: Column) -> Column:
+    """The verdict, such that filters on it or on its fields stay above it.
+
+    The id only marks the column as non-deterministic: else the optimizer moves a filter below the projections and writes out the nested
+    arrays at each of their uses, also within lambdas, which then compute them anew for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, verdict)
+
+
 def judge(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and score of every document."""
     model = model or fit(docs, labels)
     d = base_counts(pick(docs, "doc_id", "text")).withColumn("score", model.score(F.col("_h")))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= model.threshold)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= model.threshold))
+    return d.select(_held_up(F.struct("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")).alias("_verdict")).select("_verdict.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None) -> DataFrame:
@@ -150,7 +160,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, model: QualityModel | None = N
     cols = docs.columns
     inner = docs.select(F.struct(*cols).alias("_row"), F.col("text"))
     kept = ~F.col("base_failed") & (model.score(F.col("_h")) >= model.threshold)
-    # The id only marks the column as non-deterministic: else the optimizer moves the filter below the projections and writes out the nested
-    # arrays at each of their uses, also within lambdas, which then compute them anew for every element.
-    d = base_counts(inner).withColumn("_kept", F.when(F.monotonically_increasing_id() >= 0, kept))
-    return d.where("_kept").select("_row.*")
+    return base_counts(inner).withColumn("_kept", _held_up(kept)).where("_kept").select("_row.*")
