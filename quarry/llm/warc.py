@@ -33,6 +33,8 @@ from quarry.llm.common import map_arrow, materialize, new_path, open_shared, pic
 
 MIN_PAYLOAD = 100
 RUN_ENTRIES = 50_000
+#: Tasks that read the archives back, at most.
+READ_TASKS = 10_000
 FAN_IN = 128
 #: Lines of a merged range, about.
 RANGE_ENTRIES = 200_000
@@ -262,12 +264,12 @@ def histories(spark: SparkSession, merged: DataFrame) -> DataFrame:
     return map_arrow(merged.select("run").repartitionByRange("run"), run, ENTRY)
 
 
-def read(spark: SparkSession, path: str, captures: DataFrame) -> DataFrame:
+def read(spark: SparkSession, path: str, captures: DataFrame, files: int = 1) -> DataFrame:
     """Read the captures' records from the archives, file by file in the order of offsets: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (null for revisits).
 
-    A response whose payload doesn't match its digest raises ValueError.
+    files: how many archives there are. The tasks are told by it, as adaptive execution sees only the short index lines. A response whose payload doesn't match its digest raises ValueError.
     """
-    places = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    places = captures.select("file", "offset", "length").repartition(max(1, min(files, READ_TASKS)), "file").sortWithinPartitions("file", "offset")
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
 
     def number(x: str | None) -> int | None:
@@ -299,5 +301,5 @@ def read(spark: SparkSession, path: str, captures: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write the archives, merge the index, and read every record back through it."""
     spark, path = pages.sparkSession, path or new_path(pages.sparkSession, "warc")
-    merged = merge(write(pages, path), path)
-    return read(spark, path, histories(spark, merged)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    runs = write(pages, path)
+    return read(spark, path, histories(spark, merge(runs, path)), runs.count()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
