@@ -169,6 +169,27 @@ def test_keep_good_agrees_with_judge(spark, texts):
     out = quality.keep_good(docs, labels)
     assert out.columns == docs.columns
     assert kept and sorted(r.doc_id for r in out.collect()) == kept
+    verdicts = quality.judge(docs, labels)
+    assert sorted(r.doc_id for r in verdicts.where("kept").collect()) == kept
+    long = verdicts.where("n_words > 50 and not base_failed").select("doc_id").collect()
+    assert sorted(r.doc_id for r in long) == sorted(r.doc_id for r in verdicts.collect() if r.n_words > 50 and not r.base_failed)
+
+
+def test_jaccard_rest_loses_no_link(spark):
+    """The rest's bounds: sets that link stay a pair, whichever shingles are lone, and what goes doesn't link."""
+    rng = np.random.default_rng(3)
+    found, lone = [], []
+    passage = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    for _ in range(60):
+        own = rng.integers(0, 2**64, int(rng.integers(0, 20)), dtype=np.uint64)
+        found.append(np.unique(np.concatenate([rng.permutation(passage)[int(rng.integers(0, 9)) :], own])))
+        lone.append(len(own))
+    names = ", ".join(f"{c} long" for c in jaccard.SKETCH)
+    sketches = spark.createDataFrame([(i, *map(int, jaccard.sketch(s))) for i, s in enumerate(found)], f"_node long, {names}")
+    todo = spark.createDataFrame([(k, i, len(s), lone[i], i) for i, s in enumerate(found) for k in (0, 1)], "sig long, node long, n int, lone int, comp long")
+    got = {(r.a, r.b) for r in jaccard._rest(todo, sketches).collect()}
+    linked = {(i, j) for j in range(60) for i in range(j) if 100 * len(np.intersect1d(found[i], found[j])) >= 75 * len(np.union1d(found[i], found[j]))}
+    assert linked and linked <= got and len(got) < 60 * 59 // 2
 
 
 def test_byte_bpe(spark, texts):
