@@ -19,7 +19,7 @@ place to be counted).
 Verification. Sets that share a signature form a bucket. Buckets of single shingles hold FREQUENT sets at most; of their pairs, those go on that share enough
 indexed shingles: if the prefix of x, of r rare shingles, ends first and c are shared, x and y share n - r + c shingles at most. Buckets of combinations may be
 large, and their pairs are never listed first: in up to LEADER_ROUNDS rounds, while that finds links, their members are compared with one leader, and what links is joined to components. Then
-only pairs of different components which haven't been compared are listed and verified, so no link between components is lost; a bucket of near copies
+only pairs of different components which haven't been compared, and which lone shingles and sketches let link, are listed and verified, so no link between components is lost; a bucket of near copies
 has none left by then as a rule. A comparison reads the two whole sets, made again from the texts.
 
 Hashes have 64 bits: two different shingles of compared sets are taken as one with a chance of about n * m / 2^64. Equal sets are told by 128-bit hashes, and a class is named by 64 of those bits.
