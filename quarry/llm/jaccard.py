@@ -238,7 +238,11 @@ SIGNED = "sig bigint, combined boolean, node bigint, n int, rare int, lone int"
 
 
 def _signed(shared: DataFrame) -> DataFrame:
-    """SIGNED of each node: its signatures, its size, the rare shingles it indexes, and `lone`, how many of those read no other set holds."""
+    """SIGNED of each node: its signatures, its size, the rare shingles it indexes, and `lone`, how many of those that judge no set it may link with holds.
+
+    No other set reads these, and sets it may link with would: every set reads the first PART of the hashes, and a set of WHOLE shingles at most, judged by all, links
+    only with sets that are read whole. Shingles of larger sets beyond PART may be held by sets that don't read them, so they never count as lone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,7 +253,7 @@ def _signed(shared: DataFrame) -> DataFrame:
                     place = place.values.to_numpy()
                     single, combined, rare = signatures(n, read, judged, place, shingle.values.to_numpy(), frequent.values.to_numpy(zero_copy_only=False))
                     k = len(single) + len(combined)
-                    for c, x in zip(cols, (np.concatenate([single, combined]), np.arange(k) >= len(single), *(np.full(k, y) for y in (node, n, rare, read - len(place)))), strict=True):
+                    for c, x in zip(cols, (np.concatenate([single, combined]), np.arange(k) >= len(single), *(np.full(k, y) for y in (node, n, rare, judged - int((place < judged).sum())))), strict=True):
                         c.append(x)
                 types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in SIGNED.split(", ")])
@@ -354,9 +358,9 @@ def _pairs_of_singles(singles: DataFrame) -> DataFrame:
 
 
 def _rest(todo: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b of the buckets' pairs of different components that may link, by their shingles that no other set holds and by their sketches.
+    """a, b of the buckets' pairs of different components that may link, by their lone shingles (_signed) and by their sketches.
 
-    Two sets differ in their lone shingles at least, and in as many shingles as their sketches do in bits. So no two sets link that both have too many lone shingles for
+    Two sets that link differ in their lone shingles at least, and any two in as many shingles as their sketches do in bits. So no two sets link that both have too many lone shingles for
     their sizes: one of a pair is light, and only light sets meet their whole bucket.
     """
     todo = todo.join(sketches, F.col("node") == F.col("_node")).drop("_node").withColumn("light", _near(F.col("lone"), F.col("n")))

@@ -192,6 +192,20 @@ def test_jaccard_rest_loses_no_link(spark):
     assert linked and linked <= got and len(got) < 60 * 59 // 2
 
 
+def test_jaccard_links_sets_read_whole_and_in_part(spark):
+    """334 and 346 shingles link around a passage that sets of 420 to 462, read below PART, hold too; others lead all buckets."""
+    rng, new = random.Random(0), iter(range(10**6))
+    own = lambda n: [f"o{next(new)}" for _ in range(n)]
+    passage, second = own(304), own(150)
+    docs = [passage + own(34), passage + own(46)]
+    docs += [passage + second + own(k) for k in range(1, 13)]
+    docs += [passage + own(rng.randint(120, 146)) for _ in range(40)]
+    texts = [" ".join(d) for d in docs]
+    want = brute_components(texts)
+    assert want[1][1] == 0
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(make(spark, texts)).collect()} == want
+
+
 def test_byte_bpe(spark, texts):
     got = {r.doc_id: r for r in byte_bpe.digests(make(spark, texts)).collect()}
     enc = byte_bpe.encoding(byte_bpe.default_ranks())
