@@ -2,8 +2,8 @@
 
 A record's id is hashed into one of SLOTS virtual slots, for ever. A versioned map gives the shard of each slot. Growing by a shard edits
 the map: the new shard takes its share of slots from the fullest shards, all other slots stay. So a record's shard follows from its id and
-the number of shards, and one more shard takes rows only into itself (the `key` law). Bytes and rows are aggregated by slot and stored with
-the map, and rebalance() edits a map by them.
+the number of shards, and one more shard takes rows only into itself (the `key` law). assign() aggregates bytes and rows by slot over all documents,
+stores them with each version of the map, and places rows by the stored versions; rebalance() edits a map by the loads that read_loads() gives.
 
 Defined results. Null text: size 8, crc32 of nothing (0). Null ids: one slot. Repeated ids: one shard, adjacent positions. Empty table: no
 rows. Other columns of the input play no part.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import constant, materialize, pick, prefix_sums
+from quarry.llm.common import constant, materialize, new_path, pick, prefix_sums
 
 #: Fixed for the life of a data set.
 SLOTS = 4096
@@ -111,10 +111,22 @@ def read_map(spark: SparkSession, path: str, version: int) -> list[int]:
     return [r[0] for r in spark.read.parquet(f"{path}/version={version}").orderBy("virtual_slot").select("shard").collect()]
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (the position in the shard, from 0 without gaps), grown_shard, virtual_slot of every document."""
-    now = slot_map(shards, slots)
-    later = grow(now)
+def read_loads(spark: SparkSession, path: str, version: int) -> list[int]:
+    """The bytes of each slot that are stored with a map."""
+    return [r[0] for r in spark.read.parquet(f"{path}/version={version}").orderBy("virtual_slot").select("bytes").collect()]
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (the position in the shard, from 0 without gaps), grown_shard, virtual_slot of every document.
+
+    The map is stored under `path` (a new folder by default) with the slots' loads: version 0 for so many shards, version 1 grown by one.
+    """
+    spark, path = docs.sparkSession, path or new_path(docs.sparkSession, "shard-maps")
+    loads = materialize(slot_loads(docs, slots), "shard-loads")
+    write_map(spark, path, 0, slot_map(shards, slots), loads)
+    now = read_map(spark, path, 0)
+    write_map(spark, path, 1, grow(now), loads)
+    later = read_map(spark, path, 1)
     text = F.coalesce("text", F.lit("")).cast("binary")
     d = pick(docs, "doc_id", "text").select("doc_id", (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("virtual_slot"))
     d = materialize(d.withColumn("shard", shard_of(F.col("virtual_slot"), now)).withColumn("one", F.lit(1).cast("long")), "shard-rows")

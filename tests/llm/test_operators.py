@@ -142,6 +142,26 @@ def test_slot_maps():
     assert max(total) <= 1.02 * sum(loads) / 24
 
 
+def test_stored_slot_maps(spark, texts, tmp_path):
+    """Write, rebalance and reread: assign() stores maps with the loads of all documents, and places rows by them."""
+    path, docs = f"file://{tmp_path}/maps", make(spark, texts)
+    got = sharding.assign(docs, 3, 64, path).collect()
+    loads, now, later = sharding.read_loads(spark, path, 0), sharding.read_map(spark, path, 0), sharding.read_map(spark, path, 1)
+    want = [0] * 64
+    for r in got:
+        want[r.virtual_slot] += len((texts[r.doc_id] or "").encode()) + 8
+        assert (r.shard, r.grown_shard) == (now[r.virtual_slot], later[r.virtual_slot])
+    assert loads == want and now == sharding.slot_map(3, 64) and later == sharding.slot_map(4, 64)
+    assert sum(r.rows for r in spark.read.parquet(f"{path}/version=0").collect()) == len(texts)
+    edited = sharding.rebalance(later, loads)
+    sharding.write_map(spark, path, 2, edited, sharding.slot_loads(docs, 64))
+    assert edited != later and sharding.read_map(spark, path, 2) == edited and sharding.read_loads(spark, path, 2) == loads
+    total = lambda m: max(sum(v for v, s in zip(loads, m, strict=True) if s == k) for k in range(4))
+    assert total(edited) < total(later)
+    with pytest.raises(Exception, match="(?i)exists"):
+        sharding.write_map(spark, path, 2, edited)
+
+
 def test_quality_counts(spark, texts):
     docs = make(spark, [*texts, "same line here\nother\nsame line here\n\n# a <b>", " ".join("abcdefghij") + " " + " ".join("abcdefghij")])
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
