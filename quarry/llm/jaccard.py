@@ -439,7 +439,16 @@ def join(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, of which one of each component stays: that with its smallest doc_id.
 
-    Ids name documents here: where rows repeat an id that stays, one of them stays if their texts are equal; different texts under one id all stay.
+    Ids may repeat: of a component's rows with its smallest id, that of the smallest text hash stays, and of rows with that id and text one. Null ids come last.
+    Rows without words are linked with nothing and all stay, equal ones once.
     """
-    kept = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(small(materialize(kept, "jaccard-kept")), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(docs.columns)
+    rows, classes, roots = links(docs)
+    comps = classes.join(roots, F.col("node") == F.col("u"), "left").select(F.col("key").alias("_key"), F.coalesce("root", "node").alias("comp"))
+    least = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("l"))
+    least = least.join(comps, F.col("key") == F.col("_key")).groupBy("comp").agg(F.min("l").alias("l"))
+    kept = least.select(F.col("l.doc_id").alias("_keep"), F.col("l.mark").alias("_mark"), F.lit(False).alias("_blank"))
+    kept = kept.union(rows.where("n = 0").select("doc_id", "mark", F.lit(True)).distinct())
+    row = F.xxhash64(*docs.columns)
+    held = docs.select("doc_id", F.xxhash64("text").alias("mark"), row.alias("row")).join(small(materialize(kept, "jaccard-kept")), F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("mark") == F.col("_mark")))
+    chosen = held.groupBy("_keep", "_mark", F.when(F.col("_blank"), F.col("row")).alias("each")).agg(F.min("row").alias("_row")).select("_keep", "_row")
+    return docs.join(small(materialize(chosen, "jaccard-chosen")), F.col("doc_id").eqNullSafe(F.col("_keep")) & (row == F.col("_row")), "left_semi").dropDuplicates(docs.columns)

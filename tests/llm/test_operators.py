@@ -92,6 +92,18 @@ def test_without_near_copies(spark, texts):
     assert kept == sorted({c for _, c in brute_components(texts).values()})
 
 
+def test_without_near_copies_of_repeated_ids(spark):
+    """One row of each component stays, whichever ids repeat; rows without words all stay, equal ones once."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a, "x"), (5, a + " one", "x"), (3, b, "x"), (5, b + " one", "x"), (7, c, "x"), (7, c, "y"), (7, c, "y"), (None, c + " one", "x"), (None, d, "x"), (None, d + " one", "x")]
+    rows += [(8, "", "x"), (8, "", "y"), (8, "", "y"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = jaccard.without_near_copies(docs).collect()
+    assert set(map(tuple, got)) <= set(rows)
+    assert sorted((str(r.doc_id), (r.text or " ")[0]) for r in got if r.text) == [("3", "b"), ("5", "a"), ("7", "c"), ("None", "d")]
+    assert sorted((str(r.doc_id), r.lang) for r in got if not r.text) == [("8", "x"), ("8", "y"), ("None", "x")]
+
+
 def test_mix(spark, texts):
     docs = make(spark, texts, ["b", None, "a", "c"])
     got = mixing.mix(docs).collect()
