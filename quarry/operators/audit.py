@@ -1,17 +1,28 @@
-"""Data-quality audit of a chunk table: one row for each error (layer, chunk_id, message).
+"""Data-quality audit of chunks: one row for each error (layer, chunk_id, message).
 
-mode="raw" holds the rules against raw_text and unpruned chunks; mode="compat" holds them against text as written.
+audit() holds a typed table against its rules: mode="raw" against raw_text and unpruned chunks, mode="compat" against text as written. A typed table can't tell a missing
+key from a null one nor a number from its text, so audit_lines() holds the JSON lines themselves, and audit_stats() the run's statistics.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import ship
+
 REQUIRED = ("document_id", "chunk_id", "chunk_index", "text")
 NUMBERS = ("chunk_index", "char_start", "char_end", "char_length")
+#: Keys of every chunk record; those of NOT_EMPTY hold more than blanks.
+KEYS = ("document_id", "chunk_id", "chunk_index", "document_title", "part_number", "part_title", "chapter_number", "chapter_title", "section_number", "section_title",
+        "articles", "clauses", "points", "char_start", "char_end", "char_length", "chunk_type", "is_split", "text")
+NOT_EMPTY = ("document_id", "chunk_id", "text", "chunk_type")
+ERRORS = "layer string, chunk_id string, message string"
 
 
 def audit(chunks: DataFrame, docs: DataFrame | None = None, mode: str = "raw") -> DataFrame:
@@ -46,5 +57,42 @@ def audit(chunks: DataFrame, docs: DataFrame | None = None, mode: str = "raw") -
     return reduce(DataFrame.unionByName, found)
 
 
+def line_errors(line: str | None) -> list[tuple[str | None, str]]:
+    """(chunk_id, message) of a line: JSON syntax, missing keys, empty fields and numbers that aren't integers (true and 1.0 aren't). Blank lines have none."""
+    if line is None or not line.strip():
+        return []
+    try:
+        record = json.loads(line.strip())
+    except (ValueError, RecursionError):
+        return [(None, "not JSON")]
+    if not isinstance(record, dict):
+        return [(None, "not a JSON object")]
+    found = [f"{k} is missing" for k in KEYS if k not in record]
+    found += [f"{k} is empty" for k in NOT_EMPTY if record.get(k) is None or (isinstance(record[k], str) and not record[k].strip())]
+    found += [f"{k} is no integer" for k in NUMBERS if type(record.get(k)) is not int]
+    name = record.get("chunk_id")
+    return [(None if name is None else str(name), m) for m in found]
+
+
+def audit_lines(lines: DataFrame) -> DataFrame:
+    """The errors of raw JSON lines (the only column, as spark.read.text gives it), before any typed reading."""
+    ship(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [e for line in b.column(0).to_pylist() for e in line_errors(line)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (["schema"] * len(found), [e[0] for e in found], [e[1] for e in found])], ["layer", "chunk_id", "message"])
+
+    return lines.mapInArrow(run, ERRORS)
+
+
+def audit_stats(stats: DataFrame) -> DataFrame:
+    """An error if the statistics (failed_documents; no row if there is no file) are missing or count failed documents."""
+    failed = F.lit(0) if "failed_documents" not in stats.columns else F.coalesce(F.col("failed_documents"), F.lit(0))
+    found = stats.agg(F.count("*").alias("n"), F.sum(failed).alias("failed"))
+    message = F.when(F.col("n") == 0, "statistics are missing").when(F.col("failed") > 0, "documents failed")
+    return found.select(F.lit("stats").alias("layer"), F.lit(None).cast("string").alias("chunk_id"), message.alias("message")).where("message is not null")
+
+
 def passed(errors: DataFrame) -> bool:
     return errors.isEmpty()

@@ -100,6 +100,20 @@ def _faulty(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("char_length", F.when(odd == 3, F.col("char_length") + 1).otherwise(F.col("char_length"))).withColumn("char_start", F.when(odd == 5, -1).otherwise(F.col("char_start"))).withColumn("chunk_index", F.when(odd == 7, F.col("chunk_index") + 1).otherwise(F.col("chunk_index"))).withColumn("raw_text", F.when(odd == 9, F.concat(F.lit("x"), F.expr("substring(raw_text, 2)"))).otherwise(F.col("raw_text")))
 
 
+def _faulty_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The faulty chunks as JSON lines: some cut off, some without a key, some with a number as text."""
+    c, odd = _faulty(spark, d), F.pmod(F.col("document_id").cast("long"), F.lit(17))
+    line = F.when(odd == 11, F.expr("substring(line, 1, 9)")).when(odd == 13, F.regexp_replace("line", '"is_split":', '"split":')).when(odd == 15, F.regexp_replace("line", r'"char_end":(\d+)', '"char_end":"$1"')).otherwise(F.col("line"))
+    return c.select("document_id", F.to_json(F.struct(*audit.KEYS), {"ignoreNullFields": "false"}).alias("line")).select(line.alias("value"))
+
+
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    """All layers: the typed rules, the JSON lines, and statistics in which each document without chunks counts as failed."""
+    docs = _documents(spark, d)
+    failed = docs.join(_faulty(spark, d).select("document_id"), "document_id", "left_anti").agg(F.count("*").alias("failed_documents"))
+    return audit.audit(_faulty(spark, d), docs).unionByName(audit.audit_lines(_faulty_lines(spark, d))).unionByName(audit.audit_stats(failed))
+
+
 BM25_SQL = f"""
 t AS (SELECT doc_id AS chunk_id, {TOKENS.format('text')} AS t FROM documents),
 cs AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
@@ -151,7 +165,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
     q["bucket_percent"] = (lambda s, d: _fallback(s, d).groupBy("chunk_type").count().withColumn("percent", F.round(100 * F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))), 6)).select("chunk_type", "percent"), f"{HARD} SELECT chunk_type, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM fallback GROUP BY 1")
     q["duplicate_ids"] = (lambda s, d: stats.duplicates(_table(s, d, "conversations"), "conv_id"), "SELECT count(*) AS total, count(conv_id) - count(DISTINCT conv_id) AS duplicates, count(DISTINCT conv_id) AS unique_ids FROM conversations")
     q["duplicate_text"] = (lambda s, d: stats.duplicates(_table(s, d, "documents"), "text"), "SELECT count(*) AS total, count(nullif(text, '')) - count(DISTINCT nullif(text, '')) AS duplicates, count(DISTINCT nullif(text, '')) AS unique_ids FROM documents")
-    q["audit_faults"] = (lambda s, d: audit.audit(_faulty(s, d), _documents(s, d)).groupBy("layer", "message").count(), None)
+    q["audit_faults"] = (lambda s, d: _audited(s, d).groupBy("layer", "message").count(), None)
     q["audit_clean"] = (lambda s, d: audit.audit(_fallback(s, d), _documents(s, d)), f"{HARD} SELECT 'x' AS layer, 'x' AS chunk_id, 'x' AS message FROM fallback WHERE false")
     q["audit_structured"] = (lambda s, d: audit.audit(chunking.chunk(legal_corpus(s, d), 150, 150, 200, prune=False), structure.with_units(legal_corpus(s, d))), "SELECT 'x' AS layer, 'x' AS chunk_id, 'x' AS message FROM documents WHERE false")
     q["tokenize_counts"] = (lambda s, d: _chunks(s, d).select("chunk_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n")), f"SELECT doc_id AS chunk_id, CAST(len({TOKENS.format('text')}) AS BIGINT) AS n FROM documents")

@@ -1,5 +1,6 @@
 """Goldens of the engine's operators, and its queries against DuckDB on the smallest tables."""
 
+import json
 import math
 from pathlib import Path
 
@@ -60,6 +61,22 @@ def test_audit_finds_faults(spark):
     assert found == {"index jumps", "overlap", "text differs from the source"}
 
 
+def test_audit_of_lines_and_statistics(spark):
+    good = {k: "x" for k in audit.KEYS} | {k: 1 for k in audit.NUMBERS} | {"part_title": None}
+    lines = [good, {k: v for k, v in good.items() if k != "points"}, good | {"char_end": "1"}, good | {"char_start": True}, good | {"char_length": 1.0}, good | {"chunk_type": " "}, [1]]
+    rows = [(json.dumps(x),) for x in lines] + [('{"a": ',), (" ",), (None,)]
+    found = sorted(r.message for r in audit.audit_lines(spark.createDataFrame(rows, "value string")).collect())
+    assert found == sorted(["points is missing", "char_end is no integer", "char_start is no integer", "char_length is no integer", "chunk_type is empty", "not a JSON object", "not JSON"])
+    stats = spark.createDataFrame([(0,)], "failed_documents int")
+    got = [[r.message for r in audit.audit_stats(x).collect()] for x in (stats, stats.limit(0), stats.selectExpr("2 AS failed_documents"))]
+    assert got == [[], ["statistics are missing"], ["documents failed"]]
+
+
+def test_audit_faults_holds_the_lines_too(spark):
+    found = {r.message for r in catalog.queries()["audit_faults"](spark, str(DATA)).collect()}
+    assert {"not JSON", "is_split is missing", "char_end is no integer", "index jumps"} <= found
+
+
 @pytest.mark.parametrize("name", ["clean_documents", "chunk_fallback", "chunk_stats", "length_buckets", "prune_short", "mark_split", "bm25_topk", "hybrid_rrf", "rerank_jaccard", "eval_macro_f2", "submission_rows", "resume_antijoin"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
