@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -64,6 +64,11 @@ def _fallback(spark: SparkSession, d: str) -> DataFrame:
     return chunking.records(chunking.with_chunks(_plain(_documents(spark, d))), prune=False)
 
 
+def _noisy() -> Column:
+    """The text of documents between noise; columns need a session, so none is built while the catalog is."""
+    return F.concat(F.lit(NOISE_HEAD), F.col("text"), F.lit(NOISE_TAIL))
+
+
 def _queries_table(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
@@ -138,12 +143,11 @@ fused AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DE
 
 def _catalog() -> dict[str, tuple[Query, str | None]]:
     q: dict[str, tuple[Query, str | None]] = {}
-    noisy = F.concat(F.lit(NOISE_HEAD), F.col("text"), F.lit(NOISE_TAIL))
     lit = lambda s: "'" + "' || chr(9) || '".join("' || chr(13) || '".join("' || chr(10) || '".join(x.split("\n")) if "\n" in x else x for x in y.split("\r")) for y in s.split("\t")) + "'"
     chain = f"replace({lit(NOISE_HEAD)} || text || {lit(NOISE_TAIL)}, chr(92), '')"
     for p, r in (("\\r\\n?", "chr(10)"), ("\\t", "' '"), ("(?m)^[=\\-_*]{3,}\\s*$", "''"), ("[^\\S\\n]+", "' '"), ("(?m)^[ \\t]+|[ \\t]+$", "''"), ("\\n{3,}", "chr(10) || chr(10)"), ("^\\s+|\\s+$", "''")):
         chain = f"regexp_replace({chain}, '{p}', {r}, 'g')"
-    q["clean_documents"] = (lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(T.clean(noisy, normalize=False)).alias("digest"), F.length(T.clean(noisy, normalize=False)).cast("long").alias("n")), f"SELECT doc_id, md5({chain}) AS digest, CAST(length({chain}) AS BIGINT) AS n FROM documents")
+    q["clean_documents"] = (lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(T.clean(_noisy(), normalize=False)).alias("digest"), F.length(T.clean(_noisy(), normalize=False)).cast("long").alias("n")), f"SELECT doc_id, md5({chain}) AS digest, CAST(length({chain}) AS BIGINT) AS n FROM documents")
     q["nfc_documents"] = (lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(T.nfc(F.concat("text", F.lit("é")))).alias("digest")), "SELECT doc_id, md5(nfc_normalize(text || 'e' || chr(769))) AS digest FROM documents")
     q["empty_filter"] = (lambda s, d: _table(s, d, "documents").where(T.strip(F.col("text")) != "").select("doc_id"), "SELECT doc_id FROM documents WHERE trim(text, ' ' || chr(10)) <> ''")
     q["fingerprint"] = (lambda s, d: legal_corpus(s, d).select("document_id", F.array_join(structure.fingerprint(F.col("text")), ",").alias("levels")), f"WITH {LEGAL} SELECT document_id, string_agg(level, ',' ORDER BY k) AS levels FROM (SELECT DISTINCT document_id, level, k FROM u) GROUP BY 1")
