@@ -240,7 +240,7 @@ def test_jaccard_links_sets_read_whole_and_in_part(spark):
 
 def test_byte_bpe(spark, texts):
     got = {r.doc_id: r for r in byte_bpe.digests(make(spark, texts)).collect()}
-    enc = byte_bpe.encoding(byte_bpe.default_ranks())
+    enc = byte_bpe.encoding(byte_bpe.default_ranks(), byte_bpe.default_pattern())
     for i, t in enumerate(texts):
         ids = np.array(enc.encode_ordinary(t or ""), "<u4")
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
@@ -249,6 +249,19 @@ def test_byte_bpe(spark, texts):
     assert [i for p in byte_bpe.pieces(long, 50) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(long)
 
 
+@pytest.mark.parametrize("n", [999, 1000, 1001, 40_000])
+def test_byte_bpe_long_blanks(n):
+    """Long runs of blanks are encoded apart from the pattern; where the library can take the whole, the ids are the same."""
+    enc = byte_bpe.encoding(byte_bpe.default_ranks(), byte_bpe.default_pattern())
+    for a in ("", "x", "x'", "1 ", "\x1c", "é!"):
+        for blank in (" ", "\n", "\t", " \n", "\u3000", "\x85 "):
+            for b in ("", "y", "'s", "\x1c", " \x1f", "\U0001f642", "x" * 60_000):
+                t = a + blank * n + b
+                assert byte_bpe.encode(t, enc).tolist() == enc.encode_ordinary(t)
+    t = "a" + " " * 1_000_000 + "b " * 30_000 + "\n" * 1_000_000
+    assert byte_bpe.decode(byte_bpe.encode(t, enc), enc) == t.encode()
+
+
 def test_token_records(spark, texts):
     from tokenizers import Tokenizer
 
