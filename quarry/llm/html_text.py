@@ -6,14 +6,19 @@ are bad. In the second pass an undecided block takes the label of the nearest de
 both agree or one is good and the block itself is near good. A region is an article (or main) element, or the rest of the page; an article in
 which nothing is decided is good, since its markup says so.
 
-Defined results. Null or empty html, or a page of boilerplate alone: an empty string. Markup that isn't closed ends with the page. Repeated
-rows: each has its result. Empty table: no rows. Other columns of the input play no part.
+A page is read once from start to end, in time linear in its length whatever its markup: a `<` after the page's last `>` is text, quoted
+attributes that never end are read as unquoted from there on, and end tags look only for elements that are open.
+
+Defined results. Null or empty html, or a page of boilerplate alone: an empty string. Markup that isn't closed ends with the page. Very long
+pages: read whole, in one task's memory. Character references of numbers that no character has: U+FFFD. Null page_id or url, repeated rows or
+ids: each row has its result. Empty table: no rows. Other columns of the input play no part.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,11 +48,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words in class, id or role that mark boilerplate.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice gdpr sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies respond discussion disqus social share sharing related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager widget toolbar complementary contentinfo search".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.DOTALL)
+_TOKEN = re.compile(r"<!--|<[!?]|</?[a-zA-Z]")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
+_UNQUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_LONG_REFERENCE = re.compile(r"&#0*(\d{8,});?")
+_RAW_END = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def unescape(text: str) -> str:
+    """Character references decoded; Python converts no number of thousands of digits, so those are told first."""
+    return html_lib.unescape(_LONG_REFERENCE.sub("\ufffd", text) if "&#" in text else text)
+
+
 @dataclass
 class Block:
     text: str
@@ -84,15 +98,30 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, linked, bool(stack) and stack[-1][1], stack[-1][2] if stack else 0, heading))
         parts = []
 
+    def pop() -> None:
+        open_names[stack.pop()[0]] -= 1
+
     def text(start: int, end: int) -> None:
         if end > start:
-            parts.append((html_lib.unescape(page[start:end]), links > 0))
+            parts.append((unescape(page[start:end]), links > 0))
 
+    last, quoted, open_names = page.rfind(">"), True, Counter()
     while m := _TOKEN.search(page, at):
+        if m[0] == "<!--":
+            text(at, m.start())
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if m.start() > last:
+            break
         text(at, m.start())
-        at = m.end()
-        if not m[2]:
+        if m[0] in ("<!", "<?"):
+            at = page.find(">", m.end()) + 1
             continue
+        tag = _TAG.match(page, m.start()) if quoted else None
+        if not tag:
+            quoted, tag = False, _UNQUOTED.match(page, m.start())
+        m, at = tag, tag.end()
         name, ends = m[2].lower(), bool(m[1])
         if name == "a":
             links = max(0, links - 1) if ends else 1  # links don't nest
@@ -100,24 +129,27 @@ def blocks(page: str) -> list[Block]:
             close()
             links = 0 if name not in ("br", "hr") else links
         if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name not in BLOCK and stack[i][1] != (stack[i - 1][1] if i else False):
-                        close()
-                    del stack[i:]
-                    break
+            if open_names[name]:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                if name not in BLOCK and stack[i][1] != (stack[i - 1][1] if i else False):
+                    close()
+                while len(stack) > i:
+                    pop()
             heading = heading and name not in ("h1", "h2", "h3", "h4", "h5", "h6")
             continue
         if name in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            end = _RAW_END[name].search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or len(page)
             continue
         if name in VOID:
             continue
         bad, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         if name in ("article", "main"):
             while stack and stack[-1][0] in ("nav", "header", "menu"):  # left open
-                stack.pop()
+                pop()
             bad, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             if not region:
                 regions += 1
@@ -127,9 +159,10 @@ def blocks(page: str) -> list[Block]:
             close()
         if name in BLOCK or own or bad or name in ("span", "b", "i", "em", "strong", "section"):
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
+                pop()
                 bad, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             stack.append((name, bad or own, region))
+            open_names[name] += 1
         heading = name in ("h1", "h2", "h3", "h4", "h5", "h6") or heading and name not in BLOCK
     text(at, len(page))
     close()
