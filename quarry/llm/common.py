@@ -30,6 +30,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return apart.select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The table with its columns named _c0, _c1 and so on, so that no name clashes, also by case only; toDF(*df.columns) names them back."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: spark.checkpoint.dir.
 

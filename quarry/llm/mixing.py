@@ -7,7 +7,8 @@ gives what the others take instead.
 
 Defined results. Null text: no words. Null source: a source of its own, last in order. Empty table: no rows. Repeated rows: rows of one
 source and doc_id (null ids count as one id) form a unit with one key; if the cut falls inside such a unit, each of its rows is taken in
-proportion. Other columns of the input play no part, whatever their names; mixed_documents() keeps them.
+proportion. Ties of keys: by doc_id. Null doc_id: documents like others. Very long texts: a document is a row, and its words are counted in one pass.
+Other columns of the input play no part, whatever their names, also names that differ by case only; mixed_documents() keeps them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, materialize, pick, prefix_sums, small
+from quarry.llm.common import WORD, materialize, numbered, pick, prefix_sums, small
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -97,17 +98,20 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epo
     sized = sized_documents(docs, seed)
     c = cuts(sized, weights, max_epochs, budget)
     c = small(c.select(*[F.col(x).alias(f"_mix_{x}") for x in c.columns]))
-    key, doc_id = key_of(F.col("doc_id"), seed), F.col("doc_id")
-    at, own = F.struct(key.alias("key"), doc_id.alias("doc_id")), F.col("_mix_cut_at")
+    names, own = docs.columns, numbered(docs)
+    doc_id, source, text = (F.col(f"_c{names.index(n)}") for n in ("doc_id", "source", "text"))
+    key, cut_at = key_of(doc_id, seed), F.col("_mix_cut_at")
+    at = F.struct(key.alias("key"), doc_id.alias("doc_id"))
     # Only the units at the cut need their words counted.
-    part = F.when(at == own, _extra(key, doc_id, n_words(F.col("text")), "_mix_"))
-    copies = F.col("_mix_epochs") + F.when(at < own, 1).otherwise(0)
-    rows = docs.join(c, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_part", part).withColumn("_mix_copies", copies)
+    part = F.when(at == cut_at, _extra(key, doc_id, n_words(text), "_mix_"))
+    copies = F.col("_mix_epochs") + F.when(at < cut_at, 1).otherwise(0)
+    rows = own.join(c, source.eqNullSafe(F.col("_mix_source"))).withColumn("_mix_part", part).withColumn("_mix_copies", copies)
     whole = F.array_repeat(F.lit(-1).cast("long"), F.col("_mix_copies").cast("int"))
     rows = rows.withColumn("_mix_take", F.explode(F.when(F.col("_mix_part") > 0, F.concat(whole, F.array("_mix_part"))).otherwise(whole)))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_mix_take").cast("int")), "")
-    text = F.when(F.col("_mix_take") < 0, F.col("text")).otherwise(first)
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_mix_take") < 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_mix_take").cast("int")), "")
+    shortened = F.col("_mix_take") >= 0
+    out = rows.withColumn(f"_c{names.index('text')}", F.when(shortened, first).otherwise(text))
+    if "n_chars" in names:
+        n = f"_c{names.index('n_chars')}"
+        out = out.withColumn(n, F.when(shortened, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*own.columns).toDF(*names)

@@ -6,7 +6,9 @@ may be a bounded sample of labelled rows (TRUSTED_ROWS). A document is kept if i
 that follows from the trusted documents' own scores. No randomness is involved: each document's verdict follows from the tables alone.
 
 Defined results. Null or empty text: all counts 0, base_failed. Repeated rows: each has its own result. No trusted documents: the ratio is 0
-everywhere, so only base rules decide. Empty table: no rows. Other columns of the input play no part; keep_good() keeps them.
+everywhere, so only base rules decide. Null doc_id: judged like others, never trusted. Labels that repeat or contradict each other: an id with a good
+label is trusted. Ties of scores: equal texts have equal verdicts. Very long texts: judged whole, in one task's memory. Empty table: no rows. Other columns
+of the input play no part, whatever their names, also names that differ by case only; keep_good() keeps them.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLANKS, WORD_GAP, constant, pick
+from quarry.llm.common import BLANKS, WORD_GAP, constant, numbered, pick
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -157,7 +159,7 @@ def judge(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None)
 def keep_good(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None) -> DataFrame:
     """The rows of `docs`, with all their columns, that judge() keeps."""
     model = model or fit(docs, labels)
-    cols = docs.columns
-    inner = docs.select(F.struct(*cols).alias("_row"), F.col("text"))
+    names, own = docs.columns, numbered(docs)
+    inner = own.select(F.struct(*own.columns).alias("_row"), F.col(f"_c{names.index('text')}").alias("text"))
     kept = ~F.col("base_failed") & (model.score(F.col("_h")) >= model.threshold)
-    return base_counts(inner).withColumn("_kept", _held_up(kept)).where("_kept").select("_row.*")
+    return base_counts(inner).withColumn("_kept", _held_up(kept)).where("_kept").select("_row.*").toDF(*names)
