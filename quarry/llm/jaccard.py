@@ -18,15 +18,16 @@ place to be counted).
 
 Verification. Sets that share a signature form a bucket. Buckets of single shingles hold FREQUENT sets at most; of their pairs, those go on that share enough
 indexed shingles: if the prefix of x, of r rare shingles, ends first and c are shared, x and y share n - r + c shingles at most. Buckets of combinations may be
-large, and their pairs are never listed first: in up to LEADER_ROUNDS rounds, while that finds links, their members are compared with one leader, and what links is joined to components. Then
-only pairs of different components which haven't been compared, and which lone shingles and sketches let link, are listed and verified, so no link between components is lost; a bucket of near copies
-has none left by then as a rule. A comparison reads the two whole sets, made again from the texts.
+large, and their pairs are never listed first: in up to LEADER_ROUNDS rounds, while that finds links, their members are compared with one leader, and what links is joined to components. Buckets
+that hold several components then are gathered in groups, those with the same smallest member, so that near copies, which share hundreds of buckets, meet once. A group's members are compared by
+their sketches in tiles of a bounded size, whatever the group's, and only pairs of different components that lone shingles and sketches let link are listed and verified; so no link between components is lost.
+A comparison reads the two whole sets, made again from the texts.
 
 Hashes have 64 bits: two different shingles of compared sets are taken as one with a chance of about n * m / 2^64. Equal sets are told by 128-bit hashes, and a class is named by 64 of those bits.
 
 Defined results. Null or blank text: the empty set, linked with nothing. Fewer than 5 words: the whole sequence is the one shingle. Null doc_id: a document
 like others; a component of null ids alone has a null id. Repeated rows: each row has its result. Empty table: no rows. Other columns of the input play no part;
-without_near_copies() keeps them.
+without_near_copies() keeps them, of whatever type and name. Ties: equal sets are one class, named by its smallest doc_id. Very long texts: a set fits into a task's memory.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_arrow, materialize, pick, small
+from quarry.llm.common import BROADCAST_ROWS, map_arrow, materialize, numbered, pick, small
 from quarry.llm.components import components
 
 SIZE = 5
@@ -58,8 +59,12 @@ HOT_SAMPLE, HOT_SEEN, HOT_MOST = 32, 8, 100_000
 SLICE = 1 << 20
 #: Members that a task compares with a leader in a row before the leader's set is sent again.
 STAR = 1_000
-#: The columns of a set's sketch, 64 bits each.
-SKETCH = ("s0", "s1", "s2", "s3")
+#: Bits of a set's sketch for each of its shingles, at least.
+SKETCH_BITS = 8
+#: Members of a group that meet in one task are those of two tiles, each of about so many rows and bytes of sketches at most.
+TILE_ROWS, TILE_BYTES = 4_096, 8 << 20
+#: Bytes of sketches that are compared at once.
+COMPARED_BYTES = 8 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -136,9 +141,18 @@ def set_key(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of n: a power of two."""
+    return 1 << max(8, (SKETCH_BITS * n - 1).bit_length())
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
-    """64 bits for each of SKETCH: whether an even or odd number of the shingles falls on each bit."""
-    return np.packbits((np.bincount((s & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1).astype(np.uint8)).view(np.int64)
+    """Whether an even or odd number of the shingles falls on each bit. Two sets differ in as many shingles as their sketches do in bits, at least.
+
+    The sketch of half the bits is one half exclusive-or the other, so sets of different sizes can be compared.
+    """
+    bits = sketch_bits(len(s))
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def missing(n: int) -> int:
@@ -287,13 +301,8 @@ def _fits(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= LEAST * F.greatest(a, b)
 
 
-def _near(differ: Column, sizes: Column) -> Column:
-    """Whether sets of these sizes together, of which so many shingles at least are in one only, can link."""
-    return (100 + LEAST) * differ <= (100 - LEAST) * sizes
-
-
 def _sets_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, hashes (sorted, binary) and the sketch's columns of the wanted nodes (node, _id, _mark), from the texts."""
+    """node, hashes (sorted, binary) of the wanted nodes (node, _id, _mark), from the texts."""
     texts = _texts(docs).join(small(wanted.select("_id", "_mark")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,19 +310,32 @@ def _sets_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for s in range(0, b.num_rows, 500):
                 found = list(sets(b.column(0).slice(s, 500).to_pylist()))
                 nodes = [int.from_bytes(set_key(x)[:8], "little", signed=True) for x in found]
-                parts = np.array([sketch(x) for x in found], np.int64).reshape(-1, len(SKETCH))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), *(pa.array(c) for c in parts.T)], ["node", "hashes", *SKETCH])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "hashes"])
 
     # Equal rows bring a set more than once.
-    return map_arrow(texts, run, "node bigint, hashes binary, " + ", ".join(f"{c} bigint" for c in SKETCH)).dropDuplicates(["node"])
+    return map_arrow(texts, run, "node bigint, hashes binary").dropDuplicates(["node"])
+
+
+def _sketches(hashes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """_node and sketch (binary) of the nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 500):
+                part = b.slice(s, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in part.column(1)], pa.binary())], ["_node", "sketch"])
+
+    return map_arrow(hashes.join(small(nodes.select(F.col("node").alias("_node")).distinct()), F.col("node") == F.col("_node"), "left_semi"), run, "_node bigint, sketch binary")
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     """a, b, linked of every pair (a, b), each set sent once for each leader `a` it is compared with, and a leader's set once for STAR members."""
     counted = pairs.groupBy("a").agg(F.count("*").alias("c"))
+    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     stars = pairs.join(counted, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR)).alias("part"))
     heads = counted.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / STAR) - 1)).alias("part"))
-    rows = stars.unionByName(heads).join(hashes, F.col("b") == F.col("node")).select("a", "part", "b", "hashes")
+    met = stars.unionByName(heads)  # two rows a pair at most
+    rows = (F.broadcast(met) if few else met).join(hashes, F.col("b") == F.col("node")).select("a", "part", "b", "hashes")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a")).select("a", "b", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,21 +379,88 @@ def _pairs_of_singles(singles: DataFrame) -> DataFrame:
     return counted.where(_enough("a", "b", F.col("c"))).select("a", "b")
 
 
-def _rest(todo: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b of the buckets' pairs of different components that may link, by their lone shingles (_signed) and by their sketches.
+def near_pairs(n: np.ndarray, lone: np.ndarray, comp: np.ndarray, sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of left, one of right, as numbers of rows) of different components that may link by their sizes, lone shingles and sketches. If left is right, each pair once.
 
-    Two sets that link differ in their lone shingles at least, and any two in as many shingles as their sketches do in bits. So no two sets link that both have too many lone shingles for
-    their sizes: one of a pair is light, and only light sets meet their whole bucket.
+    Two sets that link differ in their lone shingles at least, and any two in as many shingles as their sketches do in bits.
+    """
+    widths = np.array([len(x) for x in sketches])
+    at = np.zeros(len(n), np.int64)
+    by_width: dict[int, np.ndarray] = {}
+    # For each width the sketches of that width, and those of twice the width folded: sets that fit differ by less.
+    for w in np.unique(widths):
+        own, wide = np.flatnonzero(widths == w), np.flatnonzero(widths == 2 * w)
+        x = np.stack([sketches[i] for i in own])
+        at[own] = np.arange(len(own))
+        if len(wide):
+            y = np.stack([sketches[i] for i in wide])
+            x = np.concatenate([x, y[:, :w] ^ y[:, w:]])
+        by_width[int(w)] = x
+    n, lone = n.astype(np.int64), lone.astype(np.int64)
+    own_rows = {int(w): int((widths == w).sum()) for w in by_width}
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 21) // max(1, len(right)))
+    for s in range(0, len(left), step):
+        a = left[s : s + step, None]
+        sizes = n[a] + n[right]
+        may = (comp[a] != comp[right]) & (100 * np.minimum(n[a], n[right]) >= LEAST * np.maximum(n[a], n[right])) & ((100 + LEAST) * (lone[a] + lone[right]) <= (100 - LEAST) * sizes)
+        if left is right:
+            may &= a < right
+        i, j = np.nonzero(may)
+        i, j = left[s + i], right[j]
+        for w, x in by_width.items():
+            here = np.flatnonzero(np.minimum(widths[i], widths[j]) == w)
+            most = max(1, COMPARED_BYTES // (8 * w))
+            for c in range(0, len(here), most):
+                k = here[c : c + most]
+                u, v = (at[z] + np.where(widths[z] == w, 0, own_rows[w]) for z in (i[k], j[k]))
+                bits = np.bitwise_count(x[u] ^ x[v]).sum(1, dtype=np.int64)
+                near = k[(100 + LEAST) * bits <= (100 - LEAST) * (n[i[k]] + n[j[k]])]
+                found.append((i[near], j[near]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _rest(todo: DataFrame, hashes: DataFrame) -> DataFrame:
+    """a, b of the buckets' pairs of different components that may link (near_pairs). todo: sig, node, n, lone, comp.
+
+    Buckets with the same smallest node are one group, whose members meet in tiles; a pair of a group may be one that no bucket holds, which does no harm.
     """
-    todo = todo.join(sketches, F.col("node") == F.col("_node")).drop("_node").withColumn("light", _near(F.col("lone"), F.col("n")))
-    a = todo.where("light").select(*[F.col(c).alias(f"a_{c}") for c in todo.columns])
-    b = todo.select(*[F.col(c).alias(f"b_{c}") for c in todo.columns])
-    bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))).cast("long") for c in SKETCH), F.lit(0).cast("long"))
-    sizes = F.col("a_n").cast("long") + F.col("b_n")
-    may = (F.col("a_comp") != F.col("b_comp")) & (~F.col("b_light") | (F.col("a_node") < F.col("b_node"))) & _fits(F.col("a_n"), F.col("b_n"))
-    may = may & _near(F.col("a_lone").cast("long") + F.col("b_lone"), sizes) & _near(bits, sizes)
-    both = a.join(b, (F.col("a_sig") == F.col("b_sig")) & may)
-    return both.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    groups = todo.groupBy("sig").agg(F.min("node").alias("g")).select(F.col("sig").alias("_sig"), "g")
+    members = todo.join(groups, F.col("sig") == F.col("_sig")).groupBy("g", "node").agg(*[F.min(c).alias(c) for c in ("n", "lone", "comp")])
+    members = materialize(members, "jaccard-members")
+    sizes = members.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.col("n").cast("long")) * (SKETCH_BITS / 4 / TILE_BYTES))).alias("tiles")).withColumnRenamed("g", "_g")
+    placed = members.join(sizes, F.col("g") == F.col("_g")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    met = placed.join(materialize(_sketches(hashes, members), "jaccard-sketches"), F.col("node") == F.col("_node"))
+    key = ("g", "first", "second")
+    met = met.select("g", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"), "tile", "node", "n", "lone", "comp", "sketch")
+
+    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        first, second, tile, node, n, lone, comp = (t.column(i).to_numpy() for i in range(1, 8))
+        sketches = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(8)]
+        left, right = np.flatnonzero(tile == first), np.flatnonzero(tile == second)
+        i, j = near_pairs(n, lone, comp, sketches, left, left if first[0] == second[0] else right)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        group: tuple | None = None
+        for b in batches:
+            keys = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            for s, e in zip(edges, edges[1:], strict=False):
+                if e > s:
+                    if held and tuple(keys[s]) != group:
+                        yield compare(held)
+                        held = []
+                    group = tuple(keys[s])
+                    held.append(b.slice(s, e - s))
+        if held:
+            yield compare(held)
+
+    return map_arrow(met.repartition(*key).sortWithinPartitions(*key), run, "a bigint, b bigint").distinct()
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -407,7 +496,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         todo = left
         if todo.isEmpty():
             return rows, classes, roots
-    rest = materialize(_rest(todo, hashes.select(F.col("node").alias("_node"), *SKETCH)), "jaccard-rest")
+    rest = materialize(_rest(todo, hashes), "jaccard-rest")
     checked, roots, _ = _round(rest, checked, roots, hashes, None)
     return rows, classes, roots
 
@@ -444,11 +533,18 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """
     rows, classes, roots = links(docs)
     comps = classes.join(roots, F.col("node") == F.col("u"), "left").select(F.col("key").alias("_key"), F.coalesce("root", "node").alias("comp"))
-    least = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("l"))
+    # How many rows have an id and text; only where several do, their other columns matter.
+    counted = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("c"), F.first("key").alias("key"))
+    least = counted.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "c")).alias("l"))
     least = least.join(comps, F.col("key") == F.col("_key")).groupBy("comp").agg(F.min("l").alias("l"))
-    kept = least.select(F.col("l.doc_id").alias("_keep"), F.col("l.mark").alias("_mark"), F.lit(False).alias("_blank"))
-    kept = kept.union(rows.where("n = 0").select("doc_id", "mark", F.lit(True)).distinct())
-    row = F.xxhash64(*docs.columns)
-    held = docs.select("doc_id", F.xxhash64("text").alias("mark"), row.alias("row")).join(small(materialize(kept, "jaccard-kept")), F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("mark") == F.col("_mark")))
-    chosen = held.groupBy("_keep", "_mark", F.when(F.col("_blank"), F.col("row")).alias("each")).agg(F.min("row").alias("_row")).select("_keep", "_row")
-    return docs.join(small(materialize(chosen, "jaccard-chosen")), F.col("doc_id").eqNullSafe(F.col("_keep")) & (row == F.col("_row")), "left_semi").dropDuplicates(docs.columns)
+    kept = least.select(F.col("l.doc_id").alias("_keep"), F.col("l.mark").alias("_mark"), F.col("l.c").alias("_c"), F.lit(False).alias("_blank"))
+    kept = materialize(kept.union(counted.where("key is null").select("doc_id", "mark", "c", F.lit(True))), "jaccard-kept")
+    names, own = docs.columns, numbered(docs)
+    doc_id, text = (F.col(f"_c{names.index(n)}") for n in ("doc_id", "text"))
+    held = own.join(small(kept), doc_id.eqNullSafe(F.col("_keep")) & (F.xxhash64(text) == F.col("_mark")))
+    alone = held.where("_c = 1").select(*own.columns)
+    if kept.where("_c > 1").isEmpty():
+        return alone.toDF(*names)
+    row = F.xxhash64(F.to_json(F.struct(*own.columns), {"ignoreNullFields": "false"}))
+    several = held.where("_c > 1").withColumn("_row", row).groupBy("_keep", "_mark", F.when(F.col("_blank"), F.col("_row")).alias("_each")).agg(F.min_by(F.struct(*own.columns), "_row").alias("_r"))
+    return alone.unionByName(several.select("_r.*")).toDF(*names)

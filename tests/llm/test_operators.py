@@ -104,6 +104,17 @@ def test_without_near_copies_of_repeated_ids(spark):
     assert sorted((str(r.doc_id), r.lang) for r in got if not r.text) == [("8", "x"), ("8", "y"), ("None", "x")]
 
 
+def test_without_near_copies_keeps_any_columns(spark):
+    """Also maps, and names that differ by case only; of rows of one id and text one stays, the same in each run."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, {"k": 1}, "u"), (1, a, {"k": 2}, "u"), (2, a + " more", {}, "v"), (3, b, None, None), (4, None, {"k": None}, "w"), (4, None, {"k": None}, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, Text2 string").toDF("doc_id", "text", "m", "TEXT")
+    got = [tuple(r) for r in jaccard.without_near_copies(docs).collect()]
+    assert jaccard.without_near_copies(docs).columns == docs.columns
+    assert len(got) == 3 and all(r in rows for r in got) and sorted(r[0] for r in got) == [1, 3, 4]
+    assert sorted(map(str, got)) == sorted(map(str, (tuple(r) for r in jaccard.without_near_copies(docs.repartition(3)).collect())))
+
+
 def test_mix(spark, texts):
     docs = make(spark, texts, ["b", None, "a", "c"])
     got = mixing.mix(docs).collect()
@@ -207,21 +218,39 @@ def test_keep_good_agrees_with_judge(spark, texts):
     assert sorted(r.doc_id for r in long) == sorted(r.doc_id for r in verdicts.collect() if r.n_words > 50 and not r.base_failed)
 
 
-def test_jaccard_rest_loses_no_link(spark):
-    """The rest's bounds: sets that link stay a pair, whichever shingles are lone, and what goes doesn't link."""
+def versions(rng, n, base, most_edits, most_own):
+    passage = rng.integers(0, 2**64, base, dtype=np.uint64)
+    return [np.unique(np.concatenate([rng.permutation(passage)[int(rng.integers(0, most_edits)) :], rng.integers(0, 2**64, int(rng.integers(0, most_own)), dtype=np.uint64)])) for _ in range(n)]
+
+
+def linked_pairs(found):
+    return {(i, j) for j in range(len(found)) for i in range(j) if 100 * len(np.intersect1d(found[i], found[j])) >= 75 * len(np.union1d(found[i], found[j]))}
+
+
+@pytest.mark.parametrize("tile_rows", [4096, 7])
+def test_jaccard_rest_loses_no_link(spark, monkeypatch, tile_rows):
+    """The rest's bounds: sets that link stay a pair, whichever shingles are lone, and what goes doesn't link. Sketches of different widths, and groups of many tiles."""
+    monkeypatch.setattr(jaccard, "TILE_ROWS", tile_rows)
     rng = np.random.default_rng(3)
-    found, lone = [], []
+    found = versions(rng, 60, 60, 9, 20) + versions(rng, 40, 250, 60, 90) + versions(rng, 20, 30, 2, 12)
+    schema = "node long, hashes binary"
+    hashes = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(found)], schema)
+    todo = spark.createDataFrame([(k, i, len(s), 0, i) for i, s in enumerate(found) for k in (0, 1)], "sig long, node long, n int, lone int, comp long")
+    got = {(r.a, r.b) for r in jaccard._rest(todo, hashes).collect()}
+    linked = linked_pairs(found)
+    assert linked and linked <= got and len(got) < 2 * len(linked)
+    assert len({jaccard.sketch_bits(len(s)) for s in found}) > 2
+
+
+def test_near_pairs_by_lone_shingles():
+    rng = np.random.default_rng(4)
     passage = rng.integers(0, 2**64, 60, dtype=np.uint64)
-    for _ in range(60):
-        own = rng.integers(0, 2**64, int(rng.integers(0, 20)), dtype=np.uint64)
-        found.append(np.unique(np.concatenate([rng.permutation(passage)[int(rng.integers(0, 9)) :], own])))
-        lone.append(len(own))
-    names = ", ".join(f"{c} long" for c in jaccard.SKETCH)
-    sketches = spark.createDataFrame([(i, *map(int, jaccard.sketch(s))) for i, s in enumerate(found)], f"_node long, {names}")
-    todo = spark.createDataFrame([(k, i, len(s), lone[i], i) for i, s in enumerate(found) for k in (0, 1)], "sig long, node long, n int, lone int, comp long")
-    got = {(r.a, r.b) for r in jaccard._rest(todo, sketches).collect()}
-    linked = {(i, j) for j in range(60) for i in range(j) if 100 * len(np.intersect1d(found[i], found[j])) >= 75 * len(np.union1d(found[i], found[j]))}
-    assert linked and linked <= got and len(got) < 60 * 59 // 2
+    own = [int(x) for x in rng.integers(0, 20, 50)]
+    found = [np.unique(np.concatenate([passage, rng.integers(0, 2**64, k, dtype=np.uint64)])) for k in own]
+    n, lone, comp = np.array([len(s) for s in found]), np.array(own), np.arange(50) // 2
+    every = np.arange(50)
+    i, j = jaccard.near_pairs(n, lone, comp, [jaccard.sketch(s) for s in found], every, every)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a, b in linked_pairs(found) if comp[a] != comp[b]}
 
 
 def test_jaccard_links_sets_read_whole_and_in_part(spark):
