@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.stats import length_buckets
+from quarry.operators.structure import HARD_LEVELS
 from quarry.session import ship
 
 REQUIRED = ("document_id", "chunk_id", "chunk_index", "text")
@@ -25,36 +26,56 @@ NOT_EMPTY = ("document_id", "chunk_id", "text", "chunk_type")
 ERRORS = "layer string, chunk_id string, message string"
 
 
-def audit(chunks: DataFrame, docs: DataFrame | None = None, mode: str = "raw") -> DataFrame:
+def _messages(chunks: DataFrame, docs: DataFrame | None, mode: str) -> DataFrame:
+    """The chunks with `_messages`, an array of (layer, message) by the rules on a row and its neighbour, and `_blank_gap`, whether only blanks are missing before it.
+
+    One shuffle by document serves both the neighbours and the source's text.
+    """
     text = F.col("raw_text" if mode == "raw" and "raw_text" in chunks.columns else "text")
-    c = chunks.withColumn("_text", text)
-
-    def errors(layer: str, bad, message: str, rows: DataFrame = c) -> DataFrame:
-        return rows.where(bad).select(F.lit(layer).alias("layer"), "chunk_id", F.lit(message).alias("message"))
-
-    found = [errors("schema", F.col(k).isNull() | (F.trim(F.col(k).cast("string")) == ""), f"{k} is empty") for k in REQUIRED]
-    twice = c.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_id").orderBy("chunk_index")))
-    found.append(errors("schema", F.col("_n") > 1, "chunk_id repeats", twice))
-    found += [
-        errors("offsets", F.col("char_start") < 0, "negative start"),
-        errors("offsets", F.col("char_end") <= F.col("char_start"), "end not after start"),
-        errors("offsets", F.col("char_length") != F.col("char_end") - F.col("char_start"), "length differs from offsets"),
-        errors("offsets", F.length("_text") != F.col("char_length"), "text has another length"),
-    ]
     by_doc = Window.partitionBy("document_id").orderBy("chunk_index", "char_start")
-    placed = c.withColumn("_i", F.row_number().over(by_doc) - 1).withColumn("_end", F.lag("char_end").over(by_doc))
-    found.append(errors("continuity", F.col("_i") != F.col("chunk_index"), "index jumps", placed))
-    found.append(errors("continuity", F.col("char_start") < F.col("_end"), "overlap", placed))
+    c = chunks.select(*dict.fromkeys((*REQUIRED, *NUMBERS)), text.alias("_text"))
+    c = c.withColumn("_i", F.row_number().over(by_doc) - 1).withColumn("_end", F.lag("char_end").over(by_doc))
+    start, end, length = F.col("char_start"), F.col("char_end"), F.col("char_length")
+    rules = [("schema", F.col(k).isNull() | (F.trim(F.col(k).cast("string")) == ""), f"{k} is empty") for k in REQUIRED if k not in NUMBERS]
+    rules += [("schema", F.col(k).isNull(), f"{k} is no integer") for k in NUMBERS]
+    rules += [
+        ("offsets", start < 0, "negative start"),
+        ("offsets", end <= start, "end not after start"),
+        ("offsets", length != end - start, "length differs from offsets"),
+        ("offsets", F.length("_text") != length, "text has another length"),
+        ("continuity", F.col("_i") != F.col("chunk_index"), "index jumps"),
+        ("continuity", start < F.col("_end"), "overlap"),
+    ]
+    blank_gap = F.lit(False)
     if docs is not None:
-        source = docs.select("document_id", F.col("text").alias("_source"), *(["units"] if "units" in docs.columns else []))
-        j = placed.join(source, "document_id", "left")
-        found.append(errors("source", F.substring(F.col("_source"), F.col("char_start") + 1, F.col("char_length")) != F.col("_text"), "text differs from the source", j))
-        gap = F.substring(F.col("_source"), F.col("_end") + 1, F.col("char_start") - F.col("_end"))
-        found.append(errors("continuity", (F.col("char_start") > F.col("_end")) & gap.rlike(r"(?U)[^\s\x1c-\x1f]"), "text lost in a gap", j))
-        if "units" in docs.columns:
-            inside = F.exists("units", lambda u: u["level"].isin("part", "chapter", "section") & (u["char_start"] > F.col("char_start")) & (u["char_start"] < F.col("char_end")))
-            found.append(errors("boundary", inside, "a part, chapter or section starts inside", j))
-    return reduce(DataFrame.unionByName, found)
+        hard = F.transform(F.filter("units", lambda u: u["level"].isin(*HARD_LEVELS)), lambda u: u["char_start"])
+        c = c.join(docs.select("document_id", F.col("text").alias("_source"), *([hard.alias("_hard")] if "units" in docs.columns else [])), "document_id", "left")
+        gap = F.substring(F.col("_source"), F.col("_end") + 1, start - F.col("_end"))
+        lost = gap.rlike(r"(?U)[^\s\x1c-\x1f]")
+        blank_gap = F.coalesce((start > F.col("_end")) & ~lost, F.lit(False))
+        rules.append(("source", F.col("_source").isNotNull() & ((start < 0) | (F.substring(F.col("_source"), start + 1, end - start) != F.col("_text"))), "text differs from the source"))
+        rules.append(("continuity", (start > F.col("_end")) & lost, "text lost in a gap"))
+        if "_hard" in c.columns:
+            inside = F.exists("_hard", lambda at: (at > start) & (at < end))
+            rules.append(("boundary", inside, "a part, chapter or section starts inside"))
+    found = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(layer).alias("layer"), F.lit(message).alias("message"))) for layer, bad, message in rules])
+    return c.select("chunk_id", "char_length", F.filter(found, lambda x: x.isNotNull()).alias("_messages"), blank_gap.alias("_blank_gap"))
+
+
+def audit(chunks: DataFrame, docs: DataFrame | None = None, mode: str = "raw") -> DataFrame:
+    """The errors of a typed table. Each repeat of a chunk_id is one; a negative start has no slice of the source, so its text differs too."""
+    rows = _messages(chunks, docs, mode).select("chunk_id", F.inline("_messages"))
+    repeated = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = repeated.select("chunk_id", F.explode(F.sequence(F.lit(2).cast("long"), "n"))).select("chunk_id", F.lit("schema").alias("layer"), F.lit("chunk_id repeats").alias("message"))
+    return rows.select("layer", "chunk_id", "message").unionByName(again)
+
+
+def report(errors: DataFrame, chunks: DataFrame, docs: DataFrame | None = None, mode: str = "raw") -> DataFrame:
+    """metric and n: chunks, errors by layer, gaps of blanks that are tolerated, chunks over 6,000 (reported, no error), and the length buckets as the audit cuts them."""
+    rows = _messages(chunks, docs, mode).agg(F.count("*").alias("chunks"), F.count_if("_blank_gap").alias("blank gaps"))
+    flat = rows.unpivot([], list(rows.columns), "metric", "n")
+    buckets = length_buckets(chunks, audit=True)
+    return flat.unionByName(buckets.unpivot([], list(buckets.columns), "metric", "n")).unionByName(errors.groupBy(F.concat(F.lit("errors: "), "layer").alias("metric")).agg(F.count("*").alias("n")))
 
 
 def line_errors(line: str | None) -> list[tuple[str | None, str]]:

@@ -1,45 +1,40 @@
 """Structure-respecting chunks of bounded size.
 
-A document stays one row until its chunks are packed, so nothing is shuffled. The cuts and the greedy fold over a document's stretches run in an Arrow-batched
-function: as array functions their nested expressions were planned for minutes. Contexts, texts, pruning and marks are columns.
+A document stays one row until its chunks are cut: units, stretches, the greedy fold, contexts, texts, pruning and marks are one pass over a document in an Arrow-batched
+function, in time linear in its length, and what comes out are the chunks' small rows. So nothing is shuffled, and no document's text is carried beside each of its chunks.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import pyarrow as pa
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quarry.functions.text import chunk_id, enriched, tail_after_prefix, word_count
-from quarry.operators.structure import with_units
+from quarry.functions.text import tail_after_prefix, word_count
+from quarry.operators.structure import HARD_LEVELS, Unit, units_of
 from quarry.session import ship
 
 TARGET, SOFT, HARD = 5000, 5000, 6000
-HARD_LEVELS = ("part", "chapter", "section")
 MIN_WORDS = 5
-CHUNKS = "array<struct<char_start:int,char_end:int,chunk_type:string,is_split:boolean,articles:array<string>,clauses:array<string>>>"
+#: What preambles that are boilerplate hold.
+MOTTOS = ("CỘNG HÒA XÃ HỘI", "Độc lập - Tự do")
+RECORD = (
+    "document_id string, chunk_id string, chunk_index int, document_title string, document_link string, part_number string, part_title string, chapter_number string, chapter_title string, "
+    "section_number string, section_title string, articles array<string>, clauses array<string>, points array<string>, char_start int, char_end int, char_length int, chunk_type string, "
+    "is_split boolean, text string, raw_text string"
+)
+#: Code points of chunks that a batch of the result holds, about.
+BATCH_CHARS = 1 << 22
 _BREAK = re.compile(r"\n(?:\s*\n)?")
 
 
-def _last_at(units: Column, level: str, at: Column) -> Column:
-    return F.try_element_at(F.filter(units, lambda u: (u["level"] == level) & (u["char_start"] <= at)), F.lit(-1))
-
-
-def context_at(units: Column, at: Column) -> Column:
-    """Part, chapter and section in force at a position; a chapter ends the section before it, a part ends nothing."""
-    part, chapter, section = (_last_at(units, level, at) for level in HARD_LEVELS)
-    in_force = F.when(chapter.isNull() | (section["char_start"] >= chapter["char_start"]), section)
-    return F.struct(*[x[k].alias(f"{name}_{k}") for name, x in zip(HARD_LEVELS, (part, chapter, in_force), strict=True) for k in ("number", "title")])
-
-
 class Stretch(NamedTuple):
     start: int
     end: int
@@ -66,28 +61,29 @@ def lines(text: str, s: Stretch, target: int, hard: int) -> Iterator[Stretch]:
         at = end
 
 
-def stretches(text: str, units: list[dict], levels: list[str], target: int, hard: int) -> Iterator[Stretch]:
+def stretches(text: str, units: list[Unit], target: int, hard: int) -> Iterator[Stretch]:
     """The document cut at its borders and its main level; what is over `hard` by clauses, lines or strides."""
     n = len(text)
+    levels = {u.level for u in units}
     main = next((x for x in ("article", "clause") if x in levels), "paragraph")
-    own = [u for u in units if u["level"] == main]
-    clauses = [u for u in units if u["level"] == "clause"]
-    at_clause = [u["char_start"] for u in clauses]
-    borders = {u["char_start"] for u in units if u["level"] in HARD_LEVELS}
-    cuts = sorted({0, n, *(x for x in borders if x < n), *(u["char_start"] for u in own)})
+    own = [u for u in units if u.level == main]
+    clauses = [u for u in units if u.level == "clause"]
+    at_clause = [u.char_start for u in clauses]
+    borders = {u.char_start for u in units if u.level in HARD_LEVELS}
+    cuts = sorted({0, n, *(x for x in borders if x < n), *(u.char_start for u in own)})
     k = -1
     for start, end in pairwise(cuts):
-        while k + 1 < len(own) and own[k + 1]["char_start"] <= start:
+        while k + 1 < len(own) and own[k + 1].char_start <= start:
             k += 1
         # Units of one level tile the text from the first on, so the last that has begun is the owner.
-        number = (own[k]["number"],) if k >= 0 and own[k]["number"] else ()
+        number = (own[k].number,) if k >= 0 and own[k].number else ()
         s = Stretch(start, end, main, number if main == "article" else (), number if main == "clause" else (), start in borders)
         if end - start <= hard:
             yield s
         elif main == "clause":
             yield from lines(text, s, target, hard)
         elif main == "article" and (i := bisect_left(at_clause, start)) < (j := bisect_left(at_clause, end)):
-            parts = [s._replace(end=at_clause[i], level="clause")] + [s._replace(start=at_clause[x], end=at_clause[x + 1] if x + 1 < j else end, level="clause", clauses=(clauses[x]["number"],), border=at_clause[x] in borders) for x in range(i, j)]
+            parts = [s._replace(end=at_clause[i], level="clause")] + [s._replace(start=at_clause[x], end=at_clause[x + 1] if x + 1 < j else end, level="clause", clauses=(clauses[x].number,), border=at_clause[x] in borders) for x in range(i, j)]
             for part in parts:
                 if part.end > part.start:
                     yield from lines(text, part, target, hard) if part.end - part.start > hard else (part,)
@@ -110,51 +106,97 @@ def pack(parts: Iterable[Stretch], soft: int, hard: int) -> Iterator[list[Stretc
         yield held
 
 
-def _with_chunks(docs: DataFrame, make) -> DataFrame:
-    """Add `chunks` by make(text, units, fingerprint), in Arrow batches; the fold over a document's stretches is sequential."""
+def contexts(units: list[Unit], starts: Iterable[int]) -> Iterator[dict[str, Unit]]:
+    """The part, chapter and section in force at each of the ascending positions; a chapter ends the section before it, a part ends nothing."""
+    now: dict[str, Unit] = {}
+    marks = iter([u for u in units if u.level in HARD_LEVELS])
+    mark = next(marks, None)
+    for at in starts:
+        while mark and mark.char_start <= at:
+            if mark.level == "chapter":
+                now.pop("section", None)
+            now[mark.level] = mark
+            mark = next(marks, None)
+        yield dict(now)
+
+
+def enriched_text(raw: str, document: str | None, chapter: str | None, section: str | None, articles: list[str]) -> str:
+    """As functions.text.enriched."""
+    parts = [label + value for label, value in (("Văn bản: ", document), ("Chương: ", chapter), ("Mục: ", section), ("Điều ", ", ".join(articles))) if value]
+    return f"[{' | '.join(parts)}]\n{raw}" if parts else raw
+
+
+def document_chunks(document_id: str | None, title: str | None, link: str | None, text: str | None, packed: Callable[[str, list[Unit]], Iterable[list[Stretch]]], prune: bool, structure: bool = True) -> list[dict[str, Any]]:
+    """The chunk records of one document: numbered, enriched, pruned, then marked where chunks have an article (or, without articles, a clause) in common."""
+    if not text:
+        return []
+    units = units_of(text) if structure else []
+    cut = list(packed(text, units))
+    out = []
+    for i, (c, now) in enumerate(zip(cut, contexts(units, [c[0].start for c in cut]), strict=True)):
+        start, end = c[0].start, c[-1].end
+        articles, clauses = (list(dict.fromkeys(a for x in c for a in of(x))) for of in (lambda x: x.articles, lambda x: x.clauses))
+        context = {f"{level}_{k}": getattr(now[level], k) if level in now else None for level in HARD_LEVELS for k in ("number", "title")}
+        raw = text[start:end]
+        full = enriched_text(raw, title, context["chapter_title"], context["section_title"], articles)
+        if prune and len(full.rpartition("]\n")[2].split()) < MIN_WORDS:
+            continue
+        out.append({
+            "document_id": document_id, "chunk_id": None if document_id is None else f"{document_id}_chunk_{i:04d}", "chunk_index": i, "document_title": title, "document_link": link, **context,
+            "articles": articles, "clauses": clauses, "points": [], "char_start": start, "char_end": end, "char_length": end - start, "chunk_type": c[0].level,
+            "is_split": any(x.level in ("paragraph", "hard_char") for x in c), "text": full, "raw_text": raw,
+        })
+    keys = [[("a", x) for x in r["articles"]] or [("c", x) for x in r["clauses"]] for r in out]
+    seen = Counter(k for own in keys for k in own)
+    for r, own in zip(out, keys, strict=True):
+        r["is_split"] = r["is_split"] or any(seen[k] > 1 for k in own)
+    return out
+
+
+def chunk(docs: DataFrame, target: int = TARGET, soft: int = SOFT, hard: int = HARD, prune: bool = True, cut: str = "structure") -> DataFrame:
+    """Chunk records (RECORD) of documents (document_id, document_title, document_link, text), cut by their structure, by `lines` alone, or `plain` as texts without structure.
+
+    Null or empty text: no chunk. Null document_id: chunks without chunk_id. Repeated rows: each is chunked. raw_text stays beside the enriched text.
+    """
     ship(docs.sparkSession)
-    names = docs.columns
-    text, units, levels = (names.index(x) for x in ("text", "units", "fingerprint"))
-    kinds = pa.list_(pa.struct([("char_start", pa.int32()), ("char_end", pa.int32()), ("chunk_type", pa.string()), ("is_split", pa.bool_()), ("articles", pa.list_(pa.string())), ("clauses", pa.list_(pa.string()))]))
+    if cut == "lines":
+        packed = lambda t, units: pack(lines(t, Stretch(0, len(t), "clause"), target, hard), soft, hard)
+    else:
+        packed = lambda t, units: pack(stretches(t, units, target, hard), soft, hard)
+    by_kind = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    kinds = {name: by_kind[kind] for name, kind in (f.split() for f in RECORD.split(", "))}
 
-    def one(t: str | None, u: list[dict], f: list[str]) -> list[dict]:
-        return [{"char_start": c[0].start, "char_end": c[-1].end, "chunk_type": c[0].level, "is_split": any(x.level in ("paragraph", "hard_char") for x in c), "articles": list(dict.fromkeys(a for x in c for a in x.articles)), "clauses": list(dict.fromkeys(a for x in c for a in x.clauses))} for c in make(t, u, f)] if t else []
+    def batch(rows: list[dict[str, Any]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            chunks = [one(*x) for x in zip(*(b.column(i).to_pylist() for i in (text, units, levels)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, kinds)], [*names, "chunks"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("chunks", T.DataType.fromDDL(CHUNKS))]))
-
-
-def with_chunks(docs: DataFrame, target: int = TARGET, soft: int = SOFT, hard: int = HARD) -> DataFrame:
-    return _with_chunks(docs, lambda t, u, f: pack(stretches(t, u, f, target, hard), soft, hard))
+            rows, chars = [], 0
+            for row in zip(*(c for c in b.columns), strict=True):
+                for r in document_chunks(*(x.as_py() for x in row), packed, prune, cut == "structure"):
+                    rows.append(r)
+                    chars += r["char_length"]
+                    if chars >= BATCH_CHARS:
+                        yield batch(rows)
+                        rows, chars = [], 0
+            if rows:
+                yield batch(rows)
 
-
-def with_line_chunks(docs: DataFrame, target: int = TARGET, soft: int = SOFT, hard: int = HARD) -> DataFrame:
-    """By lines alone, whatever the structure."""
-    return _with_chunks(docs, lambda t, u, f: pack(lines(t, Stretch(0, len(t), "clause"), target, hard), soft, hard))
-
-
-def records(docs: DataFrame, prune: bool = True) -> DataFrame:
-    """Chunk records of documents with document_id, document_title, document_link, text, units and chunks; raw_text stays beside the enriched text."""
-    d = docs.select("document_id", "document_title", "document_link", "text", "units", F.posexplode("chunks").alias("chunk_index", "_c"))
-    d = d.select("*", "_c.*").withColumn("_ctx", context_at(F.col("units"), F.col("char_start")))
-    raw = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    d = d.withColumn("raw_text", raw)
-    d = d.select(
-        "document_id", chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "document_title", "document_link", "_ctx.*", "articles", "clauses",
-        F.array().cast("array<string>").alias("points"), "char_start", "char_end", (F.col("char_end") - F.col("char_start")).alias("char_length"), "chunk_type", "is_split",
-        enriched(F.col("raw_text"), F.col("document_title"), F.col("_ctx.chapter_title"), F.col("_ctx.section_title"), F.col("articles")).alias("text"), "raw_text",
-    )
-    return prune_short(d) if prune else d
+    return docs.select(F.col("document_id").cast("string"), "document_title", "document_link", "text").mapInArrow(run, RECORD)
 
 
 def prune_short(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return chunks.where(word_count(tail_after_prefix(F.col("text"))) >= min_words)
 
 
+def prune_boilerplate(chunks: DataFrame, mottos: Iterable[str] = MOTTOS) -> DataFrame:
+    """Without preambles that hold a motto. No level of chunk() is a preamble; chunks of other origin may have one."""
+    held = F.lit(False)
+    for m in mottos:
+        held = held | F.coalesce(F.contains(F.col("text"), F.lit(m)), F.lit(False))
+    return chunks.where(~(F.col("chunk_type").eqNullSafe("preamble") & held))
+
+
 def mark_split(chunks: DataFrame) -> DataFrame:
     """is_split where a chunk of the same document has an article (or, without articles, a clause) in common."""
     keys = F.when(F.size("articles") > 0, F.transform("articles", lambda x: F.concat(F.lit("a"), x))).otherwise(F.transform("clauses", lambda x: F.concat(F.lit("c"), x)))
@@ -162,8 +204,3 @@ def mark_split(chunks: DataFrame) -> DataFrame:
     shared = keyed.groupBy("document_id", "k").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     both = keyed.join(shared, ["document_id", "k"]).select("document_id", "chunk_id").distinct().withColumn("_shared", F.lit(True))
     return chunks.join(both, ["document_id", "chunk_id"], "left").withColumn("is_split", F.col("is_split") | F.coalesce("_shared", F.lit(False))).drop("_shared").select(*chunks.columns)
-
-
-def chunk(docs: DataFrame, target: int = TARGET, soft: int = SOFT, hard: int = HARD, prune: bool = True) -> DataFrame:
-    """Chunks of documents (document_id, document_title, document_link, text)."""
-    return mark_split(records(with_chunks(with_units(docs), target, soft, hard), prune))

@@ -1,65 +1,123 @@
-"""Structural units of legal texts with exact code-point offsets, by column functions alone."""
+"""Structural units of legal texts with exact code-point offsets.
+
+A document is one row and its units come from one pass over its text in an Arrow-batched function, in time linear in its length: offsets are the matches' own, which
+Spark's regular-expression functions don't give. What relates units to each other (contexts, owners) is a window over the exploded rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.functions.text import let, optional_title, strip
+from quarry.session import ship
 
-#: The levels in order and what marks their headings (in Java's syntax, Unicode-aware, lines ended by line feeds only).
+#: The levels in order and what marks their headings, from the first character of a line that isn't blank.
 PATTERNS = {
-    "part": r"(?imdU)^\s*Phần\s+([IVXLCDM]+|\d+)\s*[\.\:\-]?\s*(.*)$",
-    "chapter": r"(?imdU)^\s*Chương\s+([IVXLCDM]+|\d+)\s*[\.\:\-]?\s*(.*)$",
-    "section": r"(?imdU)^\s*Mục\s+([IVXLCDM]+|\d+)\s*[\.\:\-]?\s*(.*)$",
-    "article": r"(?imdU)^\s*Điều\s+(\d+[A-Za-z]?)\s*[\.\:\-]?\s*(.*)$",
-    "clause": r"(?mdU)^\s*(\d+)\s*[\.\)]\s+(.+)$",
-    "point": r"(?imdU)^\s*([a-zđ])\s*[\.\)]\s+(.+)$",
-    "decimal_section": r"(?mdU)^\s*(\d+\.\d+)\s+(.+)$",
+    "part": r"Phần\s+([IVXLCDM]+|\d+)\s*[\.\:\-]?\s*(.*)$",
+    "chapter": r"Chương\s+([IVXLCDM]+|\d+)\s*[\.\:\-]?\s*(.*)$",
+    "section": r"Mục\s+([IVXLCDM]+|\d+)\s*[\.\:\-]?\s*(.*)$",
+    "article": r"Điều\s+(\d+[A-Za-z]?)\s*[\.\:\-]?\s*(.*)$",
+    "clause": r"(\d+)\s*[\.\)]\s+(.+)$",
+    "point": r"([a-zđ])\s*[\.\)]\s+(.+)$",
+    "decimal_section": r"(\d+\.\d+)\s+(.+)$",
 }
+#: Levels whose letters count in either case.
+FOLDED = ("part", "chapter", "section", "article", "point")
 RANK = {level: i for i, level in enumerate(PATTERNS)}
+HARD_LEVELS = ("part", "chapter", "section")
+UNITS = "array<struct<level:string,rank:int,number:string,title:string,char_start:int,char_end:int>>"
+
+_LINES = {level: re.compile(r"^[^\S\n]*(?=\S)" + p, re.MULTILINE | (re.IGNORECASE if level in FOLDED else 0)) for level, p in PATTERNS.items()}
+_UNITS_ARROW = pa.list_(pa.struct([("level", pa.string()), ("rank", pa.int32()), ("number", pa.string()), ("title", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())]))
+
+
+class Unit(NamedTuple):
+    level: str
+    rank: int
+    number: str
+    title: str | None
+    char_start: int
+    char_end: int
+
+
+def java_pattern(level: str) -> str:
+    """The level's pattern in Java's syntax, with Python's white space and case rules, lines ended by line feeds only."""
+    return f"(?{'i' if level in FOLDED else ''}mdU)" + (r"^\s*" + PATTERNS[level]).replace(r"\s", r"[\s\x1c-\x1f]")
 
 
 def fingerprint(text: Column) -> Column:
     """The levels that occur, in their order."""
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(level)) for level, p in PATTERNS.items()]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(text.rlike(java_pattern(level)), F.lit(level)) for level in PATTERNS]), lambda x: x.isNotNull())
+
 
+def level_units(text: str, level: str) -> Iterator[Unit]:
+    """The units of one level in order; each ends where the next begins. A heading begins with the blank lines before it, as far as no heading of its level holds them."""
+    before: tuple[str, str | None, int] | None = None
+    free = 0  # where the last match ends
+    for m in _LINES[level].finditer(text):
+        start = at = m.start()
+        while at > free and text[at - 1].isspace():
+            at -= 1
+            if at == 0 or text[at - 1] == "\n":
+                start = at
+        free = m.end()
+        if before:
+            yield Unit(level, RANK[level], *before, start)
+        before = (m[1].strip(), m[2].strip() or None, start)
+    if before:
+        yield Unit(level, RANK[level], *before, len(text))
 
-def level_units(text: Column, level: str) -> Column:
-    """array<struct<level, number, title, char_start, char_end>> of one level; a unit ends where the next of its level starts.
 
-    Matches begin after a line feed or at the start and end before one or at the end, so the first place, from the last match's end on, where a match stands
-    between line feeds is where it was found.
-    """
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[level]), F.lit(0))
-    guarded = F.concat(F.lit("\n"), text, F.lit("\n"))
-    none = F.array().cast("array<int>")
+def units_of(text: str | None) -> list[Unit]:
+    """The units of all levels by char_start, ties by level."""
+    found = [u for level in PATTERNS for u in level_units(text, level)] if text else []
+    return sorted(found, key=lambda u: (u.char_start, u.rank))
 
-    def step(a: Column, m: Column) -> Column:
-        at = F.position(F.concat(F.lit("\n"), m, F.lit("\n")), guarded, a["e"] + 1)
-        start = at - 1
-        return F.struct(F.concat(a["starts"], F.array(start)).alias("starts"), (start + F.length(m)).alias("e"))
 
-    places = F.aggregate(found, F.struct(none.alias("starts"), F.lit(0).alias("e")), step, lambda a: a["starts"])
-    numbers, titles = (F.regexp_extract_all(text, F.lit(PATTERNS[level]), F.lit(g)) for g in (1, 2))
+def levels_of(units: list[Unit]) -> list[str]:
+    there = {u.level for u in units}
+    return [level for level in PATTERNS if level in there]
 
-    def units(starts: Column) -> Column:
-        rows = F.zip_with(starts, F.zip_with(numbers, titles, lambda n, t: F.struct(n.alias("n"), t.alias("t"))), lambda s, x: F.struct(s.alias("s"), x.alias("x")))
 
-        def unit(x: Column, i: Column) -> Column:
-            end = F.coalesce(F.get(starts, i + 1), F.length(text))
-            return F.struct(F.lit(level).alias("level"), F.lit(RANK[level]).alias("rank"), strip(x["x"]["n"]).alias("number"), optional_title(x["x"]["t"]).alias("title"), x["s"].alias("char_start"), end.alias("char_end"))
+def with_units(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add `units`, of all levels by char_start (ties by level), and `fingerprint`. Null text: none. Texts of any length are read whole."""
+    ship(docs.sparkSession)
+    names, at = docs.columns, docs.columns.index(text)
 
-        return F.transform(rows, unit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 500):
+                part = b.slice(s, 500)
+                found = [units_of(t) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([[u._asdict() for u in f] for f in found], _UNITS_ARROW), pa.array(list(map(levels_of, found)), pa.list_(pa.string()))], [*names, "units", "fingerprint"])
 
-    return let(places, units)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("units", T.DataType.fromDDL(UNITS)), T.StructField("fingerprint", T.ArrayType(T.StringType()))]))
 
 
-def with_units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add `units`, of all levels by char_start (ties by level), and `fingerprint`."""
-    d = docs
-    for level in PATTERNS:
-        d = d.withColumn(f"_{level}", F.when(F.col(text).rlike(PATTERNS[level]), level_units(F.col(text), level)).otherwise(F.array()))
-    every = F.concat(*[F.col(f"_{level}") for level in PATTERNS])
-    ordered = F.transform(F.array_sort(F.transform(every, lambda u: F.struct(u["char_start"].alias("s"), u["rank"].alias("r"), u.alias("u")))), lambda x: x["u"])
-    return d.withColumn("units", ordered).withColumn("fingerprint", fingerprint(F.col(text))).drop(*[f"_{level}" for level in PATTERNS])
+def exploded(docs: DataFrame) -> DataFrame:
+    """document_id and the units' fields, a row each, of documents that have units."""
+    return docs.select("document_id", F.inline("units"))
+
+
+def in_document() -> Window:
+    return Window.partitionBy("document_id").orderBy("char_start", "rank").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def with_context(units: DataFrame) -> DataFrame:
+    """Add number and title of the part, chapter and section in force at each unit's start: the last ones until there. A chapter ends the section before it, a part ends nothing."""
+    so_far = in_document()
+    last = {level: F.last(F.when(F.col("level") == level, F.struct("number", "title", "char_start")), ignorenulls=True).over(so_far) for level in HARD_LEVELS}
+    d = units.select("*", *[c.alias(f"_{level}") for level, c in last.items()])
+    d = d.withColumn("_section", F.when(F.col("_chapter").isNull() | (F.col("_section.char_start") >= F.col("_chapter.char_start")), F.col("_section")))
+    return d.select(*units.columns, *[F.col(f"_{level}.{k}").alias(f"{level}_{k}") for level in HARD_LEVELS for k in ("number", "title")])
+
+
+def with_owner(units: DataFrame, level: str = "article", out: str = "owner") -> DataFrame:
+    """Add the number of the last unit of a level that has begun by each unit's start; as units of one level tile the text from the first on, it's the one that holds the start."""
+    return units.withColumn(out, F.last(F.when(F.col("level") == level, F.col("number")), ignorenulls=True).over(in_document()))

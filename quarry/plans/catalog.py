@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import audit, chunking, evaluation, retrieval, stats, structure
+from quarry.sources import files
 from quarry.streaming.incremental import new_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,44 +25,101 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("document_title"), F.lit(None).cast("string").alias("document_link"), "text")
 
 
+#: Lines of the legal corpus, in SQL of both engines: a document for each nation; parts and sections by customer key, chapters by market segment, an article for each
+#: customer, a clause and a decimal section for each order, a point for each of its items.
+LINES = """
+  c AS (SELECT c_nationkey AS d, c_custkey, c_name, c_mktsegment, 1 + c_custkey % 2 AS pa, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS ch, CASE WHEN c_custkey % 4 < 2 THEN 1 ELSE 2 END AS se FROM {customer}),
+  a AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY pa, ch, se, c_custkey) AS ar FROM c),
+  o AS (SELECT d, pa, ch, se, ar, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS cl, o_orderkey, o_orderpriority FROM {orders} JOIN a ON o_custkey = c_custkey),
+  i AS (SELECT d, pa, ch, se, ar, cl, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS po, l_partkey FROM {lineitem} JOIN o ON l_orderkey = o_orderkey),
+  h AS (SELECT d, pa, 0 AS ch, 0 AS se, 0 AS ar, 0 AS cl, 0 AS k, 0 AS po, 'part' AS level, CASE pa WHEN 1 THEN 'I' ELSE 'II' END AS number, concat('Nhóm ', pa) AS title FROM (SELECT DISTINCT d, pa FROM a) x
+    UNION ALL SELECT d, pa, ch, 0, 0, 0, 0, 0, 'chapter', CAST(ch AS STRING), c_mktsegment FROM (SELECT DISTINCT d, pa, ch, c_mktsegment FROM a) x
+    UNION ALL SELECT d, pa, ch, se, 0, 0, 0, 0, 'section', CAST(se AS STRING), concat('Hạng ', se) FROM (SELECT DISTINCT d, pa, ch, se FROM a) x
+    UNION ALL SELECT d, pa, ch, se, ar, 0, 0, 0, 'article', CAST(ar AS STRING), c_name FROM a
+    UNION ALL SELECT d, pa, ch, se, ar, cl, 0, 0, 'clause', CAST(cl AS STRING), concat('Đơn hàng ', o_orderkey, ' ', o_orderpriority) FROM o
+    UNION ALL SELECT d, pa, ch, se, ar, cl, 1, 0, 'decimal_section', concat(cl, '.1'), concat('Mã ', o_orderkey) FROM o
+    UNION ALL SELECT d, pa, ch, se, ar, cl, 2, po, 'point', chr(CAST(97 + (po - 1) % 26 AS INT)), concat('Hàng ', l_partkey) FROM i),
+  l AS (SELECT *, concat(CASE level WHEN 'part' THEN 'Phần ' WHEN 'chapter' THEN 'Chương ' WHEN 'section' THEN 'Mục ' WHEN 'article' THEN 'Điều ' ELSE '' END, number, CASE level WHEN 'part' THEN '. ' WHEN 'chapter' THEN ': ' WHEN 'section' THEN ' - ' WHEN 'article' THEN '. ' WHEN 'clause' THEN '. ' WHEN 'point' THEN ') ' ELSE ' ' END, title) AS line FROM h)
+"""
+
+
 def legal_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """A document for each nation: a chapter line for each market segment, an article line for each customer, a clause line for each order."""
-    for t in ("customer", "orders"):
+    """The legal corpus: document_id, document_title, document_link, text."""
+    for t in ("customer", "orders", "lineitem"):
         _table(spark, d, t).createOrReplaceTempView(f"legal_{t}")
-    return spark.sql("""
-      WITH c AS (SELECT *, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS ch, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS ar FROM legal_customer),
-      f AS (SELECT c_nationkey, c_mktsegment, min(ch) AS ch, min(ar) AS ar FROM c GROUP BY c_nationkey, c_mktsegment),
-      o AS (SELECT c_nationkey, ar, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS cl, o_orderkey, o_orderpriority FROM legal_orders JOIN c ON o_custkey = c_custkey),
-      l AS (SELECT c_nationkey AS d, ar, 0 AS k, 0 AS cl, concat('Chương ', ch, '. ', c_mktsegment) AS line FROM f
-        UNION ALL SELECT c_nationkey, ar, 1, 0, concat('Điều ', ar, '. ', c_name) FROM c
-        UNION ALL SELECT c_nationkey, ar, 2, cl, concat(cl, '. Đơn hàng ', o_orderkey, ' ', o_orderpriority) FROM o)
+    return spark.sql(f"""
+      WITH {LINES.format(customer="legal_customer", orders="legal_orders", lineitem="legal_lineitem")}
       SELECT CAST(d AS STRING) AS document_id, CAST(NULL AS STRING) AS document_title, CAST(NULL AS STRING) AS document_link,
-        array_join(transform(array_sort(collect_list(struct(ar, k, cl, line))), x -> x.line), '\n') AS text FROM l GROUP BY d
+        array_join(transform(array_sort(collect_list(struct(pa, ch, se, ar, cl, k, po, line))), x -> x.line), '\n') AS text FROM l GROUP BY d
     """)
 
 
-LEGAL = """
-  c AS (SELECT *, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS ch, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS ar FROM customer),
-  f AS (SELECT c_nationkey, c_mktsegment, min(ch) AS ch, min(ar) AS ar FROM c GROUP BY 1, 2),
-  o AS (SELECT c_nationkey, ar, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS cl, o_orderkey, o_orderpriority FROM orders JOIN c ON o_custkey = c_custkey),
-  l AS (SELECT c_nationkey AS d, ar, 0 AS k, 0 AS cl, 'chapter' AS level, CAST(ch AS VARCHAR) AS number, c_mktsegment AS title, concat('Chương ', ch, '. ', c_mktsegment) AS line FROM f
-    UNION ALL SELECT c_nationkey, ar, 1, 0, 'article', CAST(ar AS VARCHAR), c_name, concat('Điều ', ar, '. ', c_name) FROM c
-    UNION ALL SELECT c_nationkey, ar, 2, cl, 'clause', CAST(cl AS VARCHAR), concat('Đơn hàng ', o_orderkey, ' ', o_orderpriority), concat(cl, '. Đơn hàng ', o_orderkey, ' ', o_orderpriority) FROM o),
-  p AS (SELECT *, CAST(sum(length(line) + 1) OVER w - length(line) - 1 AS INTEGER) AS s, CAST(sum(length(line) + 1) OVER (PARTITION BY d) - 1 AS INTEGER) AS n FROM l WINDOW w AS (PARTITION BY d ORDER BY ar, k, cl ROWS UNBOUNDED PRECEDING)),
-  u AS (SELECT CAST(d AS VARCHAR) AS document_id, level, number, title, s AS char_start, lead(s, 1, n) OVER (PARTITION BY d, level ORDER BY s) AS char_end, k FROM p)
+LEGAL = f"""
+  {LINES.format(customer="customer", orders="orders", lineitem="lineitem")},
+  p AS MATERIALIZED (SELECT *, CAST(sum(length(line) + 1) OVER w - length(line) - 1 AS INTEGER) AS s, CAST(sum(length(line) + 1) OVER (PARTITION BY d) - 1 AS INTEGER) AS n FROM l WINDOW w AS (PARTITION BY d ORDER BY pa, ch, se, ar, cl, k, po ROWS UNBOUNDED PRECEDING)),
+  rk(level, r) AS (VALUES ('part', 0), ('chapter', 1), ('section', 2), ('article', 3), ('clause', 4), ('point', 5), ('decimal_section', 6)),
+  u AS (SELECT CAST(d AS VARCHAR) AS document_id, level, number, title, s AS char_start, lead(s, 1, n) OVER (PARTITION BY d, level ORDER BY s) AS char_end, r FROM p JOIN rk USING (level)),
+  ctx AS (SELECT d, s, level, number, last_value(CASE WHEN level = 'part' THEN [number, title] END IGNORE NULLS) OVER w AS pt, last_value(CASE WHEN level = 'chapter' THEN [number, title] END IGNORE NULLS) OVER w AS cp,
+    CASE WHEN coalesce(last_value(CASE WHEN level = 'section' THEN s END IGNORE NULLS) OVER w >= last_value(CASE WHEN level = 'chapter' THEN s END IGNORE NULLS) OVER w, true) THEN last_value(CASE WHEN level = 'section' THEN [number, title] END IGNORE NULLS) OVER w END AS sc,
+    last_value(CASE WHEN level = 'article' THEN number END IGNORE NULLS) OVER w AS owner FROM p WINDOW w AS (PARTITION BY d ORDER BY s ROWS UNBOUNDED PRECEDING))
+"""
+#: The greedy fold over stretches (d, i from 1, s, e, border): each one's chunk number and the chunk's start. {target}, {soft}, {hard} are the limits.
+FOLD = """
+  f AS (SELECT d, i, s AS cs, 0 AS ci, false AS closed FROM st WHERE i = 1
+    UNION ALL SELECT x.d, x.i, CASE WHEN f.closed OR x.border OR x.e - f.cs > {hard} THEN x.s ELSE f.cs END, f.ci + CASE WHEN f.closed OR x.border OR x.e - f.cs > {hard} THEN 1 ELSE 0 END,
+      NOT (f.closed OR x.border OR x.e - f.cs > {hard}) AND x.e - f.cs > {soft} FROM f JOIN st x ON x.d = f.d AND x.i = f.i + 1)
+"""
+LIMITS = {"target": 120, "soft": 120, "hard": 140}
+#: Cut lines, clauses of long articles, and lines of long clauses; no line of this corpus is longer than the limit, nor is any heading's own stretch.
+STRUCTURED_SQL = f"""
+WITH RECURSIVE {LEGAL},
+  g AS (SELECT d, s, level, number, lead(s, 1, n) OVER (PARTITION BY d ORDER BY s) AS e FROM p WHERE level IN ('part', 'chapter', 'section', 'article')),
+  big AS (SELECT d, s, e FROM g WHERE level = 'article' AND e - s > {LIMITS['hard']}),
+  q AS (SELECT p.d, p.s, CASE WHEN p.level = 'clause' THEN p.number END AS cl, lead(p.s, 1, big.e) OVER (PARTITION BY p.d, big.s ORDER BY p.s) AS e FROM p JOIN big ON big.d = p.d AND p.s >= big.s AND p.s < big.e WHERE p.level IN ('article', 'clause')),
+  long AS (SELECT * FROM q WHERE e - s > {LIMITS['hard']}),
+  raw AS (
+    SELECT g.d, g.s, g.e, 'article' AS kind, NULL AS cl, g.level <> 'article' AS border FROM g ANTI JOIN big USING (d, s)
+    UNION ALL SELECT q.d, q.s, q.e, 'clause', q.cl, false FROM q ANTI JOIN long USING (d, s)
+    UNION ALL SELECT p.d, p.s, CAST(p.s + length(p.line) + 1 - CASE WHEN p.s + length(p.line) = p.n THEN 1 ELSE 0 END AS INTEGER), 'paragraph', long.cl, false FROM p JOIN long ON long.d = p.d AND p.s >= long.s AND p.s < long.e),
+  st AS MATERIALIZED (SELECT raw.*, CAST(row_number() OVER (PARTITION BY raw.d ORDER BY raw.s) AS INTEGER) AS i, ctx.owner AS ar FROM raw JOIN ctx ON ctx.d = raw.d AND ctx.s = raw.s),
+  {FOLD.format(**LIMITS)},
+  m AS MATERIALIZED (SELECT st.*, f.ci FROM st JOIN f USING (d, i)),
+  al AS (SELECT d, ci, list(ar ORDER BY w) AS articles FROM (SELECT d, ci, ar, min(s) AS w FROM m WHERE ar IS NOT NULL GROUP BY 1, 2, 3) x GROUP BY 1, 2),
+  cll AS (SELECT d, ci, list(cl ORDER BY w) AS clauses FROM (SELECT d, ci, cl, min(s) AS w FROM m WHERE cl IS NOT NULL GROUP BY 1, 2, 3) x GROUP BY 1, 2),
+  k AS (SELECT d, ci, min(s) AS s, max(e) AS e, arg_min(kind, s) AS kind, bool_or(kind = 'paragraph') AS by_line FROM m GROUP BY 1, 2),
+  t AS (SELECT d, string_agg(line, chr(10) ORDER BY s) AS text FROM p GROUP BY 1),
+  w AS (SELECT k.*, coalesce(articles, []) AS articles, coalesce(clauses, []) AS clauses, pt, cp, sc, substr(text, k.s + 1, k.e - k.s) AS raw_text FROM k LEFT JOIN al USING (d, ci) LEFT JOIN cll USING (d, ci) JOIN ctx ON ctx.d = k.d AND ctx.s = k.s JOIN t ON t.d = k.d),
+  kept AS MATERIALIZED (SELECT * FROM w WHERE len([x FOR x IN string_split_regex(raw_text, '\\s+') IF x <> '']) >= 5),
+  keys AS (SELECT d, ci, unnest(CASE WHEN len(articles) > 0 THEN ['a' || x FOR x IN articles] ELSE ['c' || x FOR x IN clauses] END) AS key FROM kept),
+  twice AS (SELECT DISTINCT d, ci FROM (SELECT d, ci, count(*) OVER (PARTITION BY d, key) AS c FROM keys) x WHERE c > 1)
+SELECT CAST(kept.d AS VARCHAR) AS document_id, printf('%s_chunk_%04d', CAST(kept.d AS VARCHAR), kept.ci) AS chunk_id, CAST(kept.ci AS INTEGER) AS chunk_index, pt[1] AS part_number, pt[2] AS part_title, cp[1] AS chapter_number, cp[2] AS chapter_title, sc[1] AS section_number, sc[2] AS section_title,
+  array_to_string(articles, ',') AS articles, array_to_string(clauses, ',') AS clauses, s AS char_start, e AS char_end, CAST(e - s AS INTEGER) AS char_length, kind AS chunk_type, by_line OR twice.ci IS NOT NULL AS is_split,
+  CASE WHEN cp IS NOT NULL OR sc IS NOT NULL OR len(articles) > 0 THEN '[' || concat_ws(' | ', 'Chương: ' || cp[2], 'Mục: ' || sc[2], CASE WHEN len(articles) > 0 THEN 'Điều ' || array_to_string(articles, ', ') END) || ']' || chr(10) ELSE '' END || raw_text AS text, raw_text
+FROM kept LEFT JOIN twice ON twice.d = kept.d AND twice.ci = kept.ci
+"""
+LINES_SQL = f"""
+WITH RECURSIVE z AS (SELECT doc_id AS d, unnest(regexp_extract_all(text, '[^\\n]*\\n(?:\\s*\\n)?|[^\\n]+')) AS seg, generate_subscripts(regexp_extract_all(text, '[^\\n]*\\n(?:\\s*\\n)?|[^\\n]+'), 1) AS j FROM documents),
+  y AS (SELECT d, j, length(seg) AS n, sum(length(seg)) OVER (PARTITION BY d ORDER BY j ROWS UNBOUNDED PRECEDING) - length(seg) AS s FROM z),
+  x0 AS (SELECT d, s + off AS s, CASE WHEN n > 600 THEN least(s + off + 500, s + n) ELSE s + n END AS e FROM (SELECT *, unnest(CASE WHEN n > 600 THEN range(0, n, 500) ELSE [0] END) AS off FROM y) v),
+  st AS MATERIALIZED (SELECT d, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, false AS border, CAST(row_number() OVER (PARTITION BY d ORDER BY s) AS INTEGER) AS i FROM x0),
+  {FOLD.format(target=500, soft=500, hard=600)}
+SELECT CAST(d AS VARCHAR) AS document_id, CAST(ci AS INTEGER) AS chunk_index, min(st.s) AS char_start, max(e) AS char_end FROM st JOIN f USING (d, i) GROUP BY d, ci
 """
 HARD = "WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, length(text) AS n FROM documents WHERE text <> ''), m AS (SELECT *, CASE WHEN n <= 6000 THEN 1 ELSE n // 5000 + CASE WHEN n % 5000 > 1000 THEN 1 ELSE 0 END END AS k FROM n), c AS (SELECT document_id, n, k, unnest(range(k)) AS i FROM m), fallback AS (SELECT document_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 5000 AS INTEGER) AS char_start, CAST(CASE WHEN i = k - 1 THEN n ELSE (i + 1) * 5000 END AS INTEGER) AS char_end, CAST(CASE WHEN i = k - 1 THEN n ELSE (i + 1) * 5000 END - i * 5000 AS INTEGER) AS char_length, CASE WHEN n <= 6000 THEN 'paragraph' ELSE 'hard_char' END AS chunk_type, true AS is_split FROM c)"""
 TOKENS = "[x FOR x IN string_split_regex(lower({}), '\\s+') IF x <> '']"
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    """Documents without structure."""
-    return docs.withColumn("units", F.array().cast("array<struct<level:string,rank:int,number:string,title:string,char_start:int,char_end:int>>")).withColumn("fingerprint", F.array().cast("array<string>"))
-
-
 def _fallback(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of `documents` taken as texts without structure, unpruned."""
-    return chunking.records(chunking.with_chunks(_plain(_documents(spark, d))), prune=False)
+    return chunking.chunk(_documents(spark, d), prune=False, cut="plain")
+
+
+def _structured(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk(legal_corpus(spark, d), **LIMITS)
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return structure.exploded(structure.with_units(legal_corpus(spark, d)))
 
 
 def _noisy() -> Column:
@@ -95,14 +153,29 @@ def _truth(spark: SparkSession, d: str) -> DataFrame:
     return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label").join(e.groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("answer")), "label").select("qid", "answer")
 
 
+def _others(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of the label after a query's are its answers, so that not every first hit is one."""
+    e = _table(spark, d, "embeddings")
+    answer = e.groupBy(F.pmod(F.col("label") - 1, F.lit(10)).alias("label")).agg(F.collect_list("vec_id").alias("answer"))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label").join(answer, "label").select("qid", "answer")
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense(_qv(spark, d), _vectors(spark, d), 20).select("qid", "rank", F.col("chunk_id").alias("doc_id"))
 
 
 def _faulty(spark: SparkSession, d: str) -> DataFrame:
-    c = _fallback(spark, d)
-    odd = F.pmod(F.col("document_id").cast("long"), F.lit(17))
-    return c.withColumn("char_length", F.when(odd == 3, F.col("char_length") + 1).otherwise(F.col("char_length"))).withColumn("char_start", F.when(odd == 5, -1).otherwise(F.col("char_start"))).withColumn("chunk_index", F.when(odd == 7, F.col("chunk_index") + 1).otherwise(F.col("chunk_index"))).withColumn("raw_text", F.when(odd == 9, F.concat(F.lit("x"), F.expr("substring(raw_text, 2)"))).otherwise(F.col("raw_text")))
+    """Chunks of `documents`, of which each rest of the document's id by 17 has a fault of its own."""
+    odd, at = F.pmod(F.col("document_id").cast("long"), F.lit(17)), F.col("chunk_index")
+    change = {
+        "chunk_id": F.when((odd == 1) & (at == 0), "again"),
+        "char_start": F.when(odd == 5, -1).when((odd == 2) & (at == 1), F.col("char_start") + 7).when((odd == 12) & (at == 1), F.col("char_start") - 4),
+        "chunk_index": F.when(odd == 7, at + 1),
+        "raw_text": F.when(odd == 9, F.concat(F.lit("x"), F.expr("substring(raw_text, 2)"))),
+        "text": F.when(odd == 8, " "),
+    }
+    length = F.when(odd == 3, F.col("char_length") + 1).when(odd != 6, F.col("char_length"))
+    return _fallback(spark, d).withColumns({**{k: F.coalesce(v, F.col(k)) for k, v in change.items()}, "char_length": length})
 
 
 def _faulty_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -112,19 +185,48 @@ def _faulty_lines(spark: SparkSession, d: str) -> DataFrame:
     return c.select("document_id", F.to_json(F.struct(*audit.KEYS), {"ignoreNullFields": "false"}).alias("line")).select(line.alias("value"))
 
 
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """documents, some with a chapter that begins at their third character."""
+    chapter = F.array(F.struct(F.lit("chapter").alias("level"), F.lit(3).alias("char_start")))
+    return _documents(spark, d).withColumn("units", F.when(F.pmod(F.col("document_id").cast("long"), F.lit(17)) == 4, chapter).otherwise(F.filter(chapter, lambda u: F.lit(False))))
+
+
 def _audited(spark: SparkSession, d: str) -> DataFrame:
-    """All layers: the typed rules, the JSON lines, and statistics in which each document without chunks counts as failed."""
-    docs = _documents(spark, d)
-    failed = docs.join(_faulty(spark, d).select("document_id"), "document_id", "left_anti").agg(F.count("*").alias("failed_documents"))
+    """All layers: the typed rules, the JSON lines, and statistics in which some documents failed."""
+    docs = _sources(spark, d)
+    failed = docs.where(F.pmod(F.col("document_id").cast("long"), F.lit(17)) == 10).agg(F.count("*").alias("failed_documents"))
     return audit.audit(_faulty(spark, d), docs).unionByName(audit.audit_lines(_faulty_lines(spark, d))).unionByName(audit.audit_stats(failed))
 
 
+AUDIT_SQL = f"""
+{HARD},
+  x0 AS (SELECT f.*, doc_id % 17 AS odd, text AS src, source AS title, chunk_index AS ci FROM fallback f JOIN documents ON CAST(doc_id AS VARCHAR) = document_id),
+  x AS (SELECT document_id, odd, src, CASE WHEN odd = 1 AND ci = 0 THEN 'again' ELSE printf('%s_chunk_%04d', document_id, ci) END AS chunk_id,
+    CASE WHEN odd = 5 THEN -1 WHEN odd = 2 AND ci = 1 THEN char_start + 7 WHEN odd = 12 AND ci = 1 THEN char_start - 4 ELSE char_start END AS cs, char_end AS ce, CASE WHEN odd = 7 THEN ci + 1 ELSE ci END AS chunk_index,
+    CASE WHEN odd = 3 THEN char_length + 1 WHEN odd = 6 THEN NULL ELSE char_length END AS n,
+    CASE WHEN odd = 9 THEN 'x' || substr(src, char_start + 2, char_length - 1) ELSE substr(src, char_start + 1, char_length) END AS raw FROM x0),
+  y AS (SELECT *, row_number() OVER w - 1 AS i, lag(ce) OVER w AS pe FROM x WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index, cs)),
+  z AS (SELECT *, cs > pe AND regexp_matches(substr(src, pe + 1, cs - pe), '[^\\s]') AS lost FROM y),
+  e AS (
+    SELECT 'schema' AS layer, chunk_id, 'text is empty' AS message FROM z WHERE odd = 8 UNION ALL SELECT 'schema', chunk_id, 'char_length is no integer' FROM z WHERE n IS NULL
+    UNION ALL SELECT 'offsets', chunk_id, 'negative start' FROM z WHERE cs < 0 UNION ALL SELECT 'offsets', chunk_id, 'end not after start' FROM z WHERE ce <= cs
+    UNION ALL SELECT 'offsets', chunk_id, 'length differs from offsets' FROM z WHERE n <> ce - cs UNION ALL SELECT 'offsets', chunk_id, 'text has another length' FROM z WHERE length(raw) <> n
+    UNION ALL SELECT 'continuity', chunk_id, 'index jumps' FROM z WHERE i <> chunk_index UNION ALL SELECT 'continuity', chunk_id, 'overlap' FROM z WHERE cs < pe
+    UNION ALL SELECT 'continuity', chunk_id, 'text lost in a gap' FROM z WHERE lost
+    UNION ALL SELECT 'source', chunk_id, 'text differs from the source' FROM z WHERE cs < 0 OR substr(src, cs + 1, ce - cs) <> raw
+    UNION ALL SELECT 'boundary', chunk_id, 'a part, chapter or section starts inside' FROM z WHERE odd = 4 AND 3 > cs AND 3 < ce
+    UNION ALL SELECT 'schema', chunk_id, 'chunk_id repeats' FROM (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id) AS r FROM z) v WHERE r > 1
+    UNION ALL SELECT 'schema', CASE WHEN odd <> 11 THEN chunk_id END, CASE odd WHEN 11 THEN 'not JSON' WHEN 13 THEN 'is_split is missing' WHEN 15 THEN 'char_end is no integer' WHEN 6 THEN 'char_length is no integer' ELSE 'text is empty' END FROM z WHERE odd IN (6, 8, 11, 13, 15)
+    UNION ALL SELECT 'stats', NULL, 'documents failed' FROM (SELECT count(*) AS c FROM documents WHERE doc_id % 17 = 10) v WHERE c > 0)
+"""
+
+
 BM25_SQL = f"""
 t AS (SELECT doc_id AS chunk_id, {TOKENS.format('text')} AS t FROM documents),
 cs AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
-post AS (SELECT term, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM t) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), ri AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, cs),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM ri) ELSE raw END AS idf FROM ri),
+post AS MATERIALIZED (SELECT term, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM t) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), ri AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, cs),
+mi AS (SELECT avg(raw) AS mean FROM ri), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM ri, mi),
 q AS (SELECT qid, term, count(*) AS m FROM (SELECT item_id AS qid, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 bs AS (SELECT qid, chunk_id, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN idf USING (term) JOIN post USING (term), cs GROUP BY 1, 2),
 sparse AS (SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bs WHERE score > 0)
@@ -150,14 +252,14 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
     q["clean_documents"] = (lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(T.clean(_noisy(), normalize=False)).alias("digest"), F.length(T.clean(_noisy(), normalize=False)).cast("long").alias("n")), f"SELECT doc_id, md5({chain}) AS digest, CAST(length({chain}) AS BIGINT) AS n FROM documents")
     q["nfc_documents"] = (lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(T.nfc(F.concat("text", F.lit("é")))).alias("digest")), "SELECT doc_id, md5(nfc_normalize(text || 'e' || chr(769))) AS digest FROM documents")
     q["empty_filter"] = (lambda s, d: _table(s, d, "documents").where(T.strip(F.col("text")) != "").select("doc_id"), "SELECT doc_id FROM documents WHERE trim(text, ' ' || chr(10)) <> ''")
-    q["fingerprint"] = (lambda s, d: legal_corpus(s, d).select("document_id", F.array_join(structure.fingerprint(F.col("text")), ",").alias("levels")), f"WITH {LEGAL} SELECT document_id, string_agg(level, ',' ORDER BY k) AS levels FROM (SELECT DISTINCT document_id, level, k FROM u) GROUP BY 1")
-    q["structural_units"] = (lambda s, d: structure.with_units(legal_corpus(s, d)).select("document_id", F.inline("units")).drop("rank"), f"WITH {LEGAL} SELECT document_id, level, number, title, CASE WHEN char_start = 0 THEN 0 ELSE char_start END AS char_start, char_end FROM u")
-    q["context_asof"] = (lambda s, d: structure.with_units(legal_corpus(s, d)).select("document_id", "units", F.explode("units").alias("x")).select("document_id", F.col("x.char_start").alias("char_start"), chunking.context_at(F.col("units"), F.col("x.char_start"))["chapter_number"].alias("chapter_number")), f"WITH {LEGAL} SELECT document_id, char_start, last_value(CASE WHEN level = 'chapter' THEN number END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY char_start ROWS UNBOUNDED PRECEDING) AS chapter_number FROM u")
-    q["owning_unit"] = (lambda s, d: structure.with_units(legal_corpus(s, d)).select("document_id", "units", F.explode(F.filter("units", lambda u: u["level"] == "clause")).alias("x")).select("document_id", F.col("x.char_start").alias("char_start"), F.element_at(F.filter("units", lambda u: (u["level"] == "article") & (u["char_start"] <= F.col("x.char_start"))), -1)["number"].alias("article")), f"WITH {LEGAL} SELECT c.document_id, c.char_start, a.number AS article FROM (SELECT * FROM u WHERE level = 'clause') c ASOF JOIN (SELECT * FROM u WHERE level = 'article') a ON c.document_id = a.document_id AND c.char_start >= a.char_start")
-    q["chunk_structured"] = (lambda s, d: chunking.chunk(legal_corpus(s, d), 150, 150, 200), None)
+    q["fingerprint"] = (lambda s, d: legal_corpus(s, d).select("document_id", F.array_join(structure.fingerprint(F.col("text")), ",").alias("levels")), f"WITH {LEGAL} SELECT document_id, string_agg(level, ',' ORDER BY r) AS levels FROM (SELECT DISTINCT document_id, level, r FROM u) GROUP BY 1")
+    q["structural_units"] = (lambda s, d: _units(s, d).drop("rank"), f"WITH {LEGAL} SELECT document_id, level, number, title, char_start, char_end FROM u")
+    q["context_asof"] = (lambda s, d: structure.with_context(_units(s, d)).select("document_id", "char_start", "part_number", "part_title", "chapter_number", "chapter_title", "section_number", "section_title"), f"WITH {LEGAL} SELECT CAST(d AS VARCHAR) AS document_id, s AS char_start, pt[1] AS part_number, pt[2] AS part_title, cp[1] AS chapter_number, cp[2] AS chapter_title, sc[1] AS section_number, sc[2] AS section_title FROM ctx")
+    q["owning_unit"] = (lambda s, d: structure.with_owner(_units(s, d), "article", "article").where("level = 'clause'").select("document_id", "char_start", "article"), f"WITH {LEGAL} SELECT c.document_id, c.char_start, a.number AS article FROM (SELECT * FROM u WHERE level = 'clause') c ASOF JOIN (SELECT * FROM u WHERE level = 'article') a ON c.document_id = a.document_id AND c.char_start >= a.char_start")
+    q["chunk_structured"] = (lambda s, d: _structured(s, d).drop("document_title", "document_link", "points").withColumns({c: F.array_join(c, ",") for c in ("articles", "clauses")}), STRUCTURED_SQL)
     cols = ("document_id", "chunk_index", "char_start", "char_end", "char_length", "chunk_type", "is_split")
     q["chunk_fallback"] = (lambda s, d: _fallback(s, d).select(*cols), f"{HARD} SELECT * FROM fallback")
-    q["chunk_lines"] = (lambda s, d: chunking.records(chunking.with_line_chunks(_plain(_documents(s, d)), 500, 500, 600), prune=False).select("document_id", "chunk_index", "char_start", "char_end"), None)
+    q["chunk_lines"] = (lambda s, d: chunking.chunk(_documents(s, d), 500, 500, 600, prune=False, cut="lines").select("document_id", "chunk_index", "char_start", "char_end"), LINES_SQL)
     q["chunk_enriched_text"] = (lambda s, d: _fallback(s, d).select("chunk_id", F.md5("text").alias("digest")), f"{HARD} SELECT printf('%s_chunk_%04d', document_id, chunk_index) AS chunk_id, md5('[Văn bản: ' || source || ']' || chr(10) || substr(text, char_start + 1, char_length)) AS digest FROM fallback JOIN documents ON CAST(doc_id AS VARCHAR) = document_id")
     q["prune_short"] = (lambda s, d: chunking.prune_short(_chunks(s, d)).select("chunk_id"), "SELECT doc_id AS chunk_id FROM documents WHERE len([x FOR x IN string_split_regex(text, '\\s+') IF x <> '']) >= 5")
     q["mark_split"] = (lambda s, d: chunking.mark_split(_table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), F.array(F.col("l_suppkey").cast("string")).alias("articles"), F.array().cast("array<string>").alias("clauses"), F.lit(False).alias("is_split"))).select("chunk_id", "is_split"), "WITH x AS (SELECT l_orderkey || '-' || l_linenumber AS chunk_id, count(*) OVER (PARTITION BY l_orderkey, l_suppkey) > 1 AS b FROM lineitem) SELECT chunk_id, bool_or(b) OVER (PARTITION BY chunk_id) AS is_split FROM x")
@@ -166,27 +268,29 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
     for name, is_audit, fourth, fifth in (("length_buckets", False, "x >= 5000 AND x < 5500", "x >= 5500 AND x <= 6000"), ("length_buckets_audit", True, "x >= 5000 AND x <= 5500", "x > 5500 AND x <= 6000")):
         tests = {"lt_1000": "x < 1000", "lt_3000": "x >= 1000 AND x < 3000", "lt_5000": "x >= 3000 AND x < 5000", "to_5500": fourth, "to_6000": fifth, "over_6000": "x > 6000"}
         q[name] = (lambda s, d, a=is_audit: stats.length_buckets(_fallback(s, d), audit=a), f"{HARD}, x AS (SELECT char_length AS x FROM fallback) SELECT " + ", ".join(f"count(*) FILTER ({t}) AS {n}" for n, t in tests.items()) + " FROM x")
-    q["bucket_percent"] = (lambda s, d: _fallback(s, d).groupBy("chunk_type").count().withColumn("percent", F.round(100 * F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))), 6)).select("chunk_type", "percent"), f"{HARD} SELECT chunk_type, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM fallback GROUP BY 1")
+    q["bucket_percent"] = (lambda s, d: stats.percent_of_total(_fallback(s, d), "chunk_type"), f"{HARD} SELECT chunk_type, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM fallback GROUP BY 1")
     q["duplicate_ids"] = (lambda s, d: stats.duplicates(_table(s, d, "conversations"), "conv_id"), "SELECT count(*) AS total, count(conv_id) - count(DISTINCT conv_id) AS duplicates, count(DISTINCT conv_id) AS unique_ids FROM conversations")
     q["duplicate_text"] = (lambda s, d: stats.duplicates(_table(s, d, "documents"), "text"), "SELECT count(*) AS total, count(nullif(text, '')) - count(DISTINCT nullif(text, '')) AS duplicates, count(DISTINCT nullif(text, '')) AS unique_ids FROM documents")
-    q["audit_faults"] = (lambda s, d: _audited(s, d).groupBy("layer", "message").count(), None)
-    q["audit_clean"] = (lambda s, d: audit.audit(_fallback(s, d), _documents(s, d)), f"{HARD} SELECT 'x' AS layer, 'x' AS chunk_id, 'x' AS message FROM fallback WHERE false")
-    q["audit_structured"] = (lambda s, d: audit.audit(chunking.chunk(legal_corpus(s, d), 150, 150, 200, prune=False), structure.with_units(legal_corpus(s, d))), "SELECT 'x' AS layer, 'x' AS chunk_id, 'x' AS message FROM documents WHERE false")
+    q["audit_faults"] = (lambda s, d: _audited(s, d).groupBy("layer", "message").count(), f"{AUDIT_SQL} SELECT layer, message, count(*) AS count FROM e GROUP BY 1, 2")
+    q["audit_errors"] = (lambda s, d: audit.audit(_faulty(s, d), _sources(s, d)).where("layer <> 'schema'"), f"{AUDIT_SQL} SELECT * FROM e WHERE layer NOT IN ('schema', 'stats')")
+    q["audit_report"] = (lambda s, d: audit.report(_audited(s, d), _faulty(s, d), _sources(s, d)), f"""{AUDIT_SQL} SELECT 'errors: ' || layer AS metric, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT 'chunks', count(*) FROM z UNION ALL SELECT 'blank gaps', count(*) FROM z WHERE cs > pe AND NOT lost
+      UNION ALL SELECT b, count(n) FROM (VALUES ('lt_1000', 0, 999), ('lt_3000', 1000, 2999), ('lt_5000', 3000, 4999), ('to_5500', 5000, 5500), ('to_6000', 5501, 6000), ('over_6000', 6001, 2000000000)) v(b, lo, hi) LEFT JOIN z ON n BETWEEN lo AND hi GROUP BY 1""")
+    q["audit_structured"] = (lambda s, d: audit.audit(chunking.chunk(legal_corpus(s, d), prune=False, cut="plain"), structure.with_units(legal_corpus(s, d))).unionByName(audit.audit(chunking.chunk(legal_corpus(s, d), **LIMITS, prune=False), structure.with_units(legal_corpus(s, d)))), f"WITH {LEGAL}, ln AS (SELECT DISTINCT d, n FROM p), m AS (SELECT *, CASE WHEN n <= 6000 THEN 1 ELSE n // 5000 + CASE WHEN n % 5000 > 1000 THEN 1 ELSE 0 END END AS k FROM ln), c0 AS (SELECT d, n, k, unnest(range(k)) AS i FROM m), c1 AS (SELECT d, i, i * 5000 AS cs, CASE WHEN i = k - 1 THEN n ELSE (i + 1) * 5000 END AS ce FROM c0) SELECT 'boundary' AS layer, printf('%s_chunk_%04d', CAST(d AS VARCHAR), i) AS chunk_id, 'a part, chapter or section starts inside' AS message FROM c1 SEMI JOIN (SELECT d AS pd, s FROM p WHERE level IN ('part', 'chapter', 'section')) b ON pd = d AND s > cs AND s < ce")
     q["tokenize_counts"] = (lambda s, d: _chunks(s, d).select("chunk_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n")), f"SELECT doc_id AS chunk_id, CAST(len({TOKENS.format('text')}) AS BIGINT) AS n FROM documents")
-    q["bm25_stats"] = (lambda s, d: retrieval.term_stats(retrieval.postings(_chunks(s, d)), retrieval.corpus_stats(_chunks(s, d))).select("term", "df", F.round("idf", 6).alias("idf")), f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
+    q["bm25_stats"] = (lambda s, d: retrieval.Bm25Index.of(_chunks(s, d)).terms.select("term", "df", F.round("idf", 6).alias("idf")), f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
     q["bm25_topk"] = (lambda s, d: retrieval.bm25(_queries_table(s, d), _chunks(s, d), 5), f"WITH {BM25_SQL} SELECT qid, rank, chunk_id, score FROM sparse WHERE rank <= 5")
     q["l2_normalize"] = (lambda s, d: _vectors(s, d).select("chunk_id", F.round(F.aggregate(retrieval.normalized(F.transform("v", lambda x: 3 * x)), F.lit(0.0), lambda a, x: a + x), 6).alias("total")), "SELECT vec_id AS chunk_id, round(list_sum([CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS DOUBLE) * y FOR y IN embedding])) FOR x IN embedding]), 6) AS total FROM embeddings")
     q["dense_topk"] = (lambda s, d: retrieval.dense(_qv(s, d), _vectors(s, d), 3), f"WITH {DENSE_SQL} SELECT qid, rank, chunk_id, score FROM dense WHERE rank <= 3")
-    q["dense_payload"] = (lambda s, d: retrieval.dense(_qv(s, d), _vectors(s, d), 3).join(_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source"), "chunk_id", "left"), f"WITH {DENSE_SQL} SELECT qid, rank, chunk_id, score, lang, source FROM dense LEFT JOIN documents ON doc_id = chunk_id WHERE rank <= 3")
+    q["dense_payload"] = (lambda s, d: retrieval.with_payload(retrieval.dense(_qv(s, d), _vectors(s, d), 3), _table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source")), f"WITH {DENSE_SQL} SELECT qid, rank, chunk_id, score, lang, source FROM dense LEFT JOIN documents ON doc_id = chunk_id WHERE rank <= 3")
     q["hybrid_rrf"] = (_hybrid, f"WITH {BM25_SQL}, {DENSE_SQL}, {FUSED_SQL} SELECT * FROM fused WHERE rank <= 5")
     q["rerank_jaccard"] = (lambda s, d: retrieval.rerank(_queries_table(s, d), _hybrid(s, d), _chunks(s, d), 3), f"WITH {BM25_SQL}, {DENSE_SQL}, {FUSED_SQL}, p AS (SELECT f.qid, chunk_id, rank AS before, list_distinct({TOKENS.format('b.text')}) AS x, list_distinct({TOKENS.format('o.text')}) AS y FROM fused f JOIN documents o ON o.doc_id = chunk_id JOIN benchmark b ON b.item_id = f.qid WHERE rank <= 5), r AS (SELECT *, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS score FROM p), z AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS INTEGER) AS rank, chunk_id, score FROM r) SELECT * FROM z WHERE rank <= 3")
-    q["first_k_docs"] = (lambda s, d: evaluation.first_documents(_hits(s, d)), f"WITH {DENSE_SQL} SELECT qid, chunk_id AS doc_id, rank AS place FROM dense WHERE rank <= 5")
+    q["first_k_docs"] = (lambda s, d: evaluation.first_documents(_hits(s, d).withColumn("doc_id", F.expr("doc_id div 40"))), f"WITH {DENSE_SQL}, b AS (SELECT qid, chunk_id // 40 AS doc_id, min(rank) AS rank FROM dense WHERE rank <= 20 GROUP BY 1, 2), w AS (SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS place FROM b) SELECT * FROM w WHERE place <= 5")
     q["recall_at_k"] = (lambda s, d: _truth(s, d).join(evaluation.answers(_truth(s, d), _hits(s, d), 5).withColumnRenamed("answer", "found"), "qid").select("qid", F.round(evaluation.recall(F.col("found"), F.col("answer")), 6).alias("recall")), f"WITH {DENSE_SQL}, {TRUTH_SQL}, g AS (SELECT qid, list(chunk_id) AS found FROM dense WHERE rank <= 5 GROUP BY 1) SELECT qid, round(len(list_intersect(found, answer)) / len(answer), 6) AS recall FROM truth JOIN g USING (qid)")
-    q["mrr"] = (lambda s, d: evaluation.reciprocal_rank(_hits(s, d).where("rank > 1"), _truth(s, d)).select("qid", F.round("rr", 6).alias("rr")), f"WITH {DENSE_SQL}, {TRUTH_SQL} SELECT t.qid, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM truth t LEFT JOIN dense h ON h.qid = t.qid AND rank BETWEEN 2 AND 20 AND list_contains(answer, chunk_id) GROUP BY 1")
+    q["mrr"] = (lambda s, d: evaluation.reciprocal_rank(_hits(s, d), _others(s, d)).select("qid", F.round("rr", 6).alias("rr")), f"WITH {DENSE_SQL}, truth AS (SELECT q.vec_id AS qid, list(c.vec_id) AS answer FROM embeddings q JOIN embeddings c ON c.label = (q.label + 1) % 10 WHERE q.vec_id % 100 = 0 GROUP BY 1) SELECT t.qid, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM truth t LEFT JOIN dense h ON h.qid = t.qid AND rank <= 20 AND list_contains(answer, chunk_id) GROUP BY 1")
     q["eval_macro_f2"] = (lambda s, d: evaluation.macro(_truth(s, d), _hits(s, d)).select(*[F.round(c, 6).alias(c) for c in ("recall", "precision", "f2")]), f"WITH {DENSE_SQL}, {TRUTH_SQL}, g AS (SELECT qid, list(chunk_id) AS found FROM dense WHERE rank <= 5 GROUP BY 1), m AS (SELECT avg(len(list_intersect(found, answer)) / len(answer)) AS r, avg(len(list_intersect(found, answer)) / len(found)) AS p FROM truth JOIN g USING (qid)) SELECT round(r, 6) AS recall, round(p, 6) AS precision, round(CASE WHEN 4 * p + r > 0 THEN 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS f2 FROM m")
     q["submission_rows"] = (lambda s, d: evaluation.answers(_table(s, d, "benchmark").select(F.col("item_id").alias("qid")), _hits(s, d)).select("qid", F.array_join(F.transform("answer", lambda x: x.cast("string")), ",").alias("answer")), f"WITH {DENSE_SQL} SELECT item_id AS qid, coalesce(string_agg(chunk_id, ',' ORDER BY rank), '') AS answer FROM benchmark LEFT JOIN dense ON qid = item_id AND rank <= 5 GROUP BY 1")
     q["resume_antijoin"] = (lambda s, d: new_chunks(_chunks(s, d).select("chunk_id"), _table(s, d, "labels").select(F.col("doc_id").alias("chunk_id"))), "SELECT doc_id AS chunk_id FROM documents ANTI JOIN labels USING (doc_id)")
-    q["json_items"] = (lambda s, d: _table(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value")), "SELECT event_id, k AS key, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+    q["json_items"] = (lambda s, d: _table(s, d, "events").select("event_id", F.inline(files.entries(F.col("props")))), "SELECT event_id, k AS key, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
     return q
 
 

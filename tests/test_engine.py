@@ -37,7 +37,7 @@ def test_chunks(spark):
 @pytest.mark.parametrize(("n", "ends"), [(0, []), (6000, [6000]), (6001, [5000, 6001]), (11000, [5000, 11000]), (11001, [5000, 10000, 11001])])
 def test_unstructured(n, ends):
     text = "x" * n
-    packed = list(chunking.pack(chunking.stretches(text, [], [], 5000, 6000), 5000, 6000)) if n else []
+    packed = list(chunking.pack(chunking.stretches(text, [], 5000, 6000), 5000, 6000)) if n else []
     assert [c[-1].end for c in packed] == ends
 
 
