@@ -325,19 +325,67 @@ def test_html():
     assert [html_text.main_text(x) for x in (None, "", "<nav>a", "<script>x")] == ["", "", "", ""]
 
 
+def brute_topk(rows, scale=256, every=50, k=5):
+    """(query_id, rank, vec_id, score) in Python's integers."""
+    q = [(i, [int(np.floor(scale * np.float64(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    dot = lambda a, b: max(min(sum(x * y for x, y in zip(a, b)), 2**63 - 1), -(2**63))  # noqa: B905, E731
+    out = []
+    for i in sorted({i for i, _ in q if i % every == 0}):
+        found = sorted((-dot(u, v), j) for h, u in q if h == i for j, v in q if j != i)[:k]
+        out += [(i, r, j, -s) for r, (s, j) in enumerate(found, 1)]
+    return out
+
+
+def nearest(spark, rows, **sizes):
+    df = topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, Vec_Id string" if len(rows and rows[0]) > 2 else "vec_id long, embedding array<double>"), **sizes)
+    return sorted(map(tuple, df.collect()))
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
     x[100:180] = x[100]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(400, None), (450, [1.0, None]), (500, [float("nan")] * 8)]
-    got = {}
-    for r in topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=64, pivots=4, chunk=3).collect():
-        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-    q = np.floor(256 * x).astype(int)
-    for i in range(0, 300, 50):
-        want = sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:5]
-        assert got[i] == {k + 1: (j, -s) for k, (s, j) in enumerate(want)}
-    assert set(got) == set(range(0, 300, 50))
+    rows = [(i, [float(v) for v in r], "other") for i, r in enumerate(x)] + [(400, None, ""), (450, [1.0, None], ""), (500, [float("nan")] * 8, ""), (None, [1.0] * 8, ""), (550, [float("inf")] * 8, "")]
+    assert nearest(spark, rows, pivots=4, chunk=3, annulus=16) == brute_topk([r[:2] for r in rows])
+    assert nearest(spark, rows[:4]) == brute_topk([r[:2] for r in rows[:4]])
+    assert nearest(spark, []) == []
+
+
+def test_topk_of_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), rng.normal(size=int(n)).tolist()) for i, n in zip(rng.integers(0, 120, 200), rng.integers(0, 9, 200), strict=True)]
+    assert nearest(spark, rows, pivots=3, chunk=2, annulus=8) == brute_topk(rows)
+
+
+def test_topk_of_huge_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(0, 8)).tolist()) for i in range(120)]
+    assert nearest(spark, rows, annulus=32) == brute_topk(rows)
+    rows[7] = (7, [1e300, 0.0, 0.0, -1e300])
+    got, want = nearest(spark, rows, annulus=32), brute_topk([(i, np.clip(v, -1e97, 1e97).tolist()) for i, v in rows])
+    assert [r[3] for r in got] == [r[3] for r in want]
+
+
+def test_topk_prunes_clustered_vectors(spark):
+    """By the triangle inequality most annuli of far clusters are never scored."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(20, 16))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    x = np.concatenate([c + 0.02 * rng.normal(size=(150, 16)) for c in centers])
+    q = topk.quantized(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    asked = q.where("vec_id % 50 = 0")
+    share = topk.scored_share(topk.found(q, asked, pivots=32, annulus=64, chunk=20), q, asked)
+    assert 0 < share < 0.3, share
+
+
+def test_pivot_bounds_hold():
+    rng = np.random.default_rng(4)
+    x, q = np.floor(256 * rng.normal(size=(500, 6))), np.floor(256 * rng.normal(size=(40, 6)))
+    norm = float(np.sqrt((x * x).sum(1)).max()) * (1 + 1e-9)
+    p = topk.fit_pivots(x[:200], 7)
+    true = np.sqrt((q * q).sum(1)[:, None] + norm * norm - 2 * q @ x.T)
+    to_x, to_q = topk._distances(x, p, topk._lengthened(x, norm)), topk._distances(q, p, 0.0)
+    assert (np.abs(to_q[:, None] - to_x[None]).max(2) <= true + 1e-6 * norm).all()
 
 
 def test_chat(spark):
