@@ -10,7 +10,8 @@ that a third of all pages share costs a partial count in each task.
 
 Defined results. Null html: an empty payload. Null page_id: a capture after all others of its key and time, and never the first of equal
 payloads unless all their ids are null (then all are responses). Repeated page_id: rows that equal the smallest id of their payload are all
-responses. Null url: the key of an empty URL. Empty table: no files. Other columns of the input play no part.
+responses. Null url: the key of an empty URL. Ties of key and time: by page_id, then by place in the archives. Very long payloads: a record fits into a task's memory. Empty table: no
+files. Other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def url_key(url: str | None) -> str:
     except ValueError:
         return quote((url or "").lower())
     query = "&".join(sorted(u.query.split("&"))) if u.query else ""
-    return f"{','.join(reversed(host.split('.')))}){u.path.lower() or '/'}{'?' + query.lower() if query else ''}".replace("\n", "").replace("\t", "")
+    return f"{','.join(reversed(host.split('.')))}){u.path.lower() or '/'}{'?' + query.lower() if query else ''}".replace("\n", "").replace("\t", "").replace("\0", "")
 
 
 def capture_time(page_id: int | None) -> datetime:
@@ -135,6 +136,11 @@ def sort_key(entry: list) -> tuple:
     return (entry[0], entry[1], entry[2] is None, entry[2] or 0, entry[3], entry[4])
 
 
+def place(entry: list) -> str:
+    """URL key and time of an index line, in one string of the same order; fences and ranges are made of these, so one URL's captures may span ranges."""
+    return f"{entry[0]}\0{entry[1]}"
+
+
 def write_run(path: str, attempt: int, entries: Iterable[list], every: int = FENCE) -> tuple[str, int, list[tuple[str, int]]]:
     """Sorted index lines to a file, with a fence at every so many lines; what RUN has of it."""
     fences, offset, n, temporary = [], 0, 0, f"{path}.{attempt}.tmp"
@@ -142,7 +148,7 @@ def write_run(path: str, attempt: int, entries: Iterable[list], every: int = FEN
         for e in entries:
             line = json.dumps(e, ensure_ascii=False).encode() + b"\n"
             if n % every == 0:
-                fences.append((e[0], offset))
+                fences.append((place(e), offset))
             f.write(line)
             offset, n = offset + len(line), n + 1
     publish(temporary, path)
@@ -150,15 +156,15 @@ def write_run(path: str, attempt: int, entries: Iterable[list], every: int = FEN
 
 
 def read_run(path: str, fences: list[tuple[str, int]], low: str = "", high: str | None = None) -> Iterator[list]:
-    """The lines of a run whose keys are in [low, high), from the last fence before them on."""
+    """The lines of a run whose places are in [low, high), from the last fence before them on."""
     at = bisect.bisect_left([k for k, _ in fences], low) - 1
     with open_shared(path, "rb") as f:
         f.seek(fences[at][1] if at >= 0 else 0)
         for line in f:
             e = json.loads(line)
-            if high is not None and e[0] >= high:
+            if high is not None and place(e) >= high:
                 break
-            if e[0] >= low:
+            if place(e) >= low:
                 yield e
 
 
@@ -175,10 +181,10 @@ def write(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -> DataFr
     d = d.withColumn("digest", F.sha2("payload", 256))
     facts = materialize(d.select("page_id", "digest", F.octet_length("payload").alias("n")), "warc-facts").where(F.col("n") >= min_payload)
     firsts = facts.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
-    firsts = small(materialize(firsts.select("digest", "first"), "warc-firsts"))
-    again = facts.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to")).distinct()
-    again = small(materialize(again, "warc-revisits"))
-    d = d.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
+    # A row for each payload that repeats: however many pages share one, it's one row.
+    firsts = small(materialize(firsts.select(F.col("digest").alias("_digest"), "first"), "warc-firsts"))
+    again = F.when((F.octet_length("payload") >= min_payload) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    d = d.join(firsts, F.col("digest") == F.col("_digest"), "left").select("page_id", "url", "payload", "digest", again.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -230,7 +236,7 @@ def merge(runs: DataFrame, path: str, fan_in: int = FAN_IN) -> DataFrame:
         jobs = runs.withColumn("job", F.pmod(F.xxhash64("run"), F.lit(-(-n // fan_in)))).groupBy("job").agg(F.collect_list(one).alias("runs"), F.lit("").alias("low"), F.lit(None).cast("string").alias("high"))
         runs = materialize(map_arrow(jobs.repartition(-(-n // fan_in), "job"), merged(f"level-{level}"), RUN), "warc-runs")
         n, level = runs.count(), level + 1
-    # The last pass: at most fan_in runs, cut at keys that part their entries evenly; a job for each range.
+    # The last pass: at most fan_in runs, cut at places that part their entries evenly; a job for each range.
     fences = runs.select(F.explode("fences.key").alias("key"))
     total = runs.agg(F.sum("entries")).first()[0] or 0
     parts = max(1, min(-(-total // RANGE_ENTRIES) if total > RANGE_ENTRIES else min(8, total // 2000), 10_000))
