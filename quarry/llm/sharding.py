@@ -5,8 +5,8 @@ the map: the new shard takes its share of slots from the fullest shards, all oth
 the number of shards, and one more shard takes rows only into itself (the `key` law). assign() aggregates bytes and rows by slot over all documents,
 stores them with each version of the map, and places rows by the stored versions; rebalance() edits a map by the loads that read_loads() gives.
 
-Defined results. Null text: size 8, crc32 of nothing (0). Null ids: one slot. Repeated ids: one shard, adjacent positions. Empty table: no
-rows. Other columns of the input play no part.
+Defined results. Null text: size 8, crc32 of nothing (0). Null ids: one slot. Repeated rows, or ids: one shard, adjacent positions. Ties: positions go by virtual slot, id, crc32 and size;
+rows that agree in all of these are interchangeable. Very long texts: a row like others; only its size counts. Empty table: no rows. Other columns of the input play no part, whatever their names.
 """
 
 from __future__ import annotations

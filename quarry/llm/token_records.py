@@ -13,8 +13,8 @@ so that a check over bytes which hold checks stays sound. The offset index is a
 
 A task writes its file under a name of its attempt and then renames it, so a lost executor or a second attempt leaves whole files only.
 
-Defined results. Null text: no ids but the end id. Null doc_id: before all others. Repeated rows: a record each, side by side. Empty table:
-no record. Other columns of the input play no part.
+Defined results. Null text: no ids but the end id. Null doc_id: before all others. Repeated rows, or ids: a record each, side by side, by text. Very long texts: a record
+fits into a task's memory. A frame whose check doesn't hold, or that ends early, raises ValueError. Empty table: no record. Other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -223,7 +223,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
-    """nth, doc_id and ids of every record in a random order that `seed` fixes: the offset index is sorted by a hash, and records are read at their offsets."""
+    """doc_id and ids of every record in a random order that `seed` fixes: the offset index is sorted by a hash, and records are read at their offsets."""
     index = spark.read.schema(INDEX).parquet(f"{path}/index").withColumn("key", F.xxhash64("file", "nth", F.lit(seed)))
     order = index.repartitionByRange("key", "file", "nth").sortWithinPartitions("key", "file", "nth").select("file", "offset", "length")
 
