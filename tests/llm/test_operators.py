@@ -396,8 +396,3 @@ def test_chat(spark):
     a = got["ann"]
     assert [a.text[m.start : m.end] for m in a.mask] == ["hi < |im_end|><|im_end|>"]
     assert a.text.startswith("<|im_start|>system\ns<|im_end|>\n<|im_start|>assistant\n") and "user name=bob" in a.text
-
-
-@pytest.mark.parametrize("run", [mixing.mix, mixing.mixed_documents, sharding.assign, jaccard.join, byte_bpe.digests, token_records.round_trip])
-def test_empty(spark, run):
-    assert run(make(spark, ["a"]).limit(0)).count() == 0
