@@ -11,6 +11,14 @@ from pyspark.sql import types as T
 
 #: Java's Unicode white space, and the four separators that Python counts too.
 SPACE = r"[\s\x1c-\x1f]"
+#: What cleaning replaces after backslashes have gone, and by what, in this order; tabs become blanks between the first two.
+LINE_ENDS = ("\r\n?", "\n")
+CLEANING = (
+    (r"(?md)^[=\-_*]{3,}\s*$", ""),
+    (r"(?U)[\s\x1c-\x1f&&[^\n]]+", " "),
+    (r"(?md)^[ \t]+|[ \t]+$", ""),
+    ("\n{3,}", "\n\n"),
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -35,14 +43,13 @@ def strip(text: Column) -> Column:
 def clean(text: Column, normalize: bool = True) -> Column:
     """Conservative cleaning, in this order: NFC, backslashes, line ends, tabs, separator lines, runs of blanks, line ends' blanks, empty lines, ends."""
     t = F.coalesce(text, F.lit(""))
-    t = nfc(t) if normalize else t
+    # Text of ASCII alone is composed already; only a null of it goes to Python.
+    t = F.coalesce(nfc(F.when(t.rlike(r"[^\x00-\x7f]"), t)), t) if normalize else t
     t = F.replace(t, F.lit("\\"), F.lit(""))
-    t = F.regexp_replace(t, "\r\n?", "\n")
-    t = F.translate(t, "\t", " ")
-    t = F.regexp_replace(t, r"(?md)^[=\-_*]{3,}\s*$", "")
-    t = F.regexp_replace(t, r"(?U)[\s\x1c-\x1f&&[^\n]]+", " ")
-    t = F.regexp_replace(t, r"(?md)^[ \t]+|[ \t]+$", "")
-    return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    t = F.translate(F.regexp_replace(t, *LINE_ENDS), "\t", " ")
+    for pattern, by in CLEANING:
+        t = F.regexp_replace(t, pattern, by)
+    return strip(t)
 
 
 def optional_title(title: Column) -> Column:
