@@ -64,11 +64,23 @@ def constant(numbers: Sequence[float], kind: str) -> Column:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the rows as a Parquet table in the shared folder and read them back: the lineage ends there, and a lost executor costs no earlier stage.
 
-    The tables of an application lie in one folder, quarry-<application id>, and may be deleted after it ends.
+    The tables of an application lie in one folder, quarry-<application id>, and may be deleted after it ends; discard() deletes those that nothing needs any more.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialized tables from the shared folder. What is still to be computed must not read them."""
+    for df in tables:
+        path = df.__dict__.pop("written_at", None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import discard, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,9 +34,12 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     before = mark(e)
     while before[0]:
-        e = materialize(_small(_large(e)), label)
-        after = mark(e)
+        shorter = materialize(_small(_large(e)), label)
+        discard(e)
+        e, after = shorter, mark(shorter)
         if after == before:
             break
         before = after
-    return e.select("u", F.col("v").alias("root"))
+    out = e.select("u", F.col("v").alias("root"))
+    out.written_at = e.__dict__.pop("written_at")
+    return out

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, map_arrow, materialize, numbered, pick, small
+from quarry.llm.common import BROADCAST_ROWS, discard, map_arrow, materialize, numbered, pick, small
 from quarry.llm.components import components
 
 SIZE = 5
@@ -422,8 +422,8 @@ def near_pairs(n: np.ndarray, lone: np.ndarray, comp: np.ndarray, sketches: list
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _rest(todo: DataFrame, hashes: DataFrame) -> DataFrame:
-    """a, b of the buckets' pairs of different components that may link (near_pairs). todo: sig, node, n, lone, comp.
+def _rest(todo: DataFrame, hashes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(pairs, tables they are read from): a, b of the buckets' pairs of different components that may link (near_pairs). todo: sig, node, n, lone, comp.
 
     Buckets with the same smallest node are one group, whose members meet in tiles; a pair of a group may be one that no bucket holds, which does no harm.
     """
@@ -432,7 +432,8 @@ def _rest(todo: DataFrame, hashes: DataFrame) -> DataFrame:
     members = materialize(members, "jaccard-members")
     sizes = members.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.col("n").cast("long")) * (SKETCH_BITS / 4 / TILE_BYTES))).alias("tiles")).withColumnRenamed("g", "_g")
     placed = members.join(sizes, F.col("g") == F.col("_g")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    met = placed.join(materialize(_sketches(hashes, members), "jaccard-sketches"), F.col("node") == F.col("_node"))
+    sketches = materialize(_sketches(hashes, members), "jaccard-sketches")
+    met = placed.join(sketches, F.col("node") == F.col("_node"))
     key = ("g", "first", "second")
     met = met.select("g", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"), "tile", "node", "n", "lone", "comp", "sketch")
 
@@ -460,59 +461,79 @@ def _rest(todo: DataFrame, hashes: DataFrame) -> DataFrame:
         if held:
             yield compare(held)
 
-    return map_arrow(met.repartition(*key).sortWithinPartitions(*key), run, "a bigint, b bigint").distinct()
+    return map_arrow(met.repartition(*key).sortWithinPartitions(*key), run, "a bigint, b bigint").distinct(), [members, sketches]
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, roots): rows doc_id, n, key of every document; classes key, node, first (its smallest doc_id); roots u, root of classes' nodes that a link touches."""
+    """(rows, classes, roots): rows doc_id, n, key of every document; classes key, node, first (its smallest doc_id); roots u, root of classes' nodes that a link touches.
+
+    Tables go once what follows has been written.
+    """
     rows = materialize(shingled(docs), "jaccard-rows")
     some = rows.where("n > 0")
     classes = some.groupBy("key", "node", "n", "read", "judged").agg(F.min(F.struct("doc_id", "mark")).alias("pick"), F.min("doc_id").alias("first"))
     classes = materialize(classes, "jaccard-classes")
     picked = classes.select(F.col("key").alias("_key"), "pick")
     copies = some.join(picked, F.col("key") == F.col("_key")).where(F.struct("doc_id", "mark") != F.col("pick")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    texts, copies = _texts(docs), small(materialize(copies, "jaccard-copies"))
-    texts = texts.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_anti")
+    copies = materialize(copies, "jaccard-copies")
+    texts = _texts(docs).join(small(copies), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_anti")
     signed = materialize(_signatures(texts.select("mark", "text"), classes), "jaccard-signed")
     listed = materialize(_pairs_of_singles(signed.where("not combined")), "jaccard-listed")
     combined = signed.where("combined").drop("combined", "rare")
     twice = combined.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select(F.col("sig").alias("_sig"))
     buckets = materialize(combined.join(twice, F.col("sig") == F.col("_sig"), "left_semi"), "jaccard-buckets")
+    discard(copies, signed)
     active = listed.select(F.col("a").alias("_node")).union(listed.select("b")).union(buckets.select("node")).distinct()
     wanted = materialize(active.join(classes, F.col("_node") == F.col("node")).select("node", F.col("pick.doc_id").alias("_id"), F.col("pick.mark").alias("_mark")), "jaccard-wanted")
     hashes = materialize(_sets_again(docs, wanted), "jaccard-sets")
-
-    checked: DataFrame | None = None
-    roots, todo = None, buckets.withColumn("comp", F.col("node"))
+    discard(wanted)
+    state = _Verification(hashes)
+    todo: DataFrame | None = buckets
     for r in range(LEADER_ROUNDS):
+        own = todo if r else todo.withColumn("comp", F.col("node"))
         # First the member with fewest shingles of its own, as an original among its edited copies; then others.
         rank = F.struct("lone", "node", "n", "comp") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)).alias("lone"), "node", "n", "comp")
-        leaders = todo.groupBy("sig").agg(F.min(rank).alias("l")).select(F.col("sig").alias("_sig"), F.col("l.node").alias("a"), F.col("l.n").alias("an"), F.col("l.comp").alias("acomp"))
-        stars = todo.join(leaders, F.col("sig") == F.col("_sig")).where((F.col("comp") != F.col("acomp")) & _fits(F.col("n"), F.col("an"))).select("a", F.col("node").alias("b")).distinct()
-        pairs = stars.unionByName(listed).distinct() if r == 0 else stars
-        checked, roots, left = _round(pairs, checked, roots, hashes, todo)
-        if left is None:
+        leaders = own.groupBy("sig").agg(F.min(rank).alias("l")).select(F.col("sig").alias("_sig"), F.col("l.node").alias("a"), F.col("l.n").alias("an"), F.col("l.comp").alias("acomp"))
+        stars = own.join(leaders, F.col("sig") == F.col("_sig")).where((F.col("comp") != F.col("acomp")) & _fits(F.col("n"), F.col("an"))).select("a", F.col("node").alias("b")).distinct()
+        found = state.verify(stars.unionByName(listed).distinct() if r == 0 else stars)
+        if r and not found:
             break
+        left = _open(todo, state.roots)
+        discard(todo)
         todo = left
         if todo.isEmpty():
-            return rows, classes, roots
-    rest = materialize(_rest(todo, hashes), "jaccard-rest")
-    checked, roots, _ = _round(rest, checked, roots, hashes, None)
-    return rows, classes, roots
-
-
-def _round(pairs: DataFrame, checked: DataFrame | None, roots: DataFrame | None, hashes: DataFrame, buckets: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Verify pairs that haven't been; all pairs verified so far, the components, and what is left open of the buckets (None if no pair links)."""
-    if checked is not None:
-        seen = checked.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
-        pairs = pairs.join(seen, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
-    new = materialize(_verified(materialize(pairs, "jaccard-pairs"), hashes), "jaccard-verified")
-    found = new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if roots is not None and found.isEmpty():
-        return checked.unionByName(new), roots, None
-    checked = new if checked is None else checked.unionByName(new)
-    roots = components(found if roots is None else found.unionByName(roots.select("u", F.col("root").alias("v"))), "jaccard-components")
-    return checked, roots, None if buckets is None else _open(buckets, roots)
+            break
+    if not todo.isEmpty():
+        pairs, read = _rest(todo, hashes)
+        rest = materialize(pairs, "jaccard-rest")
+        state.verify(rest)
+        discard(rest, *read)
+    discard(todo, listed, hashes, *state.checked)
+    return rows, classes, state.roots
+
+
+class _Verification:
+    """What has been verified: `checked`, tables of pairs (a, b, linked), and `roots`, the components of all links so far."""
+
+    def __init__(self, hashes: DataFrame):
+        self.hashes, self.checked, self.roots = hashes, [], None
+
+    def verify(self, pairs: DataFrame) -> bool:
+        """Verify the pairs that haven't been, and join what links to components; whether any pair links."""
+        for done in self.checked:
+            seen = done.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+            pairs = pairs.join(seen, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
+        pairs = materialize(pairs, "jaccard-pairs")
+        new = materialize(_verified(pairs, self.hashes), "jaccard-verified")
+        discard(pairs)
+        self.checked.append(new)
+        found = new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if self.roots is not None and found.isEmpty():
+            return False
+        before = self.roots
+        self.roots = components(found if before is None else found.unionByName(before.select("u", F.col("root").alias("v"))), "jaccard-components")
+        discard(before)
+        return True
 
 
 def join(docs: DataFrame) -> DataFrame:
