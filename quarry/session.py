@@ -13,7 +13,11 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Add this package to the application's Python files, once, so that workers on every executor can import it."""
+    """Add this package to the application's Python files, once, so that workers on every executor can import it.
+
+    Spark 4.1 joins the partitions of a union's sides that are partitioned alike one to one, and fails where adaptive execution has coalesced these sides differently; so the session goes without that.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -31,6 +35,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
