@@ -31,11 +31,6 @@ def nfc(text: Column) -> Column:
     return _nfc(text)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
 

@@ -1,7 +1,8 @@
 """Structure-respecting chunks of bounded size.
 
 A document stays one row until its chunks are cut: units, stretches, the greedy fold, contexts, texts, pruning and marks are one pass over a document in an Arrow-batched
-function, in time linear in its length, and what comes out are the chunks' small rows. So nothing is shuffled, and no document's text is carried beside each of its chunks.
+function, in time linear in its length, and what comes out are the chunks' small rows; names and enriched texts are columns of these. So nothing is shuffled, and no document's text is carried beside
+each of its chunks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tail_after_prefix, word_count
+from quarry.functions.text import chunk_id, enriched, tail_after_prefix, word_count
 from quarry.operators.structure import HARD_LEVELS, Unit, units_of
 from quarry.session import ship
 
@@ -25,10 +26,11 @@ TARGET, SOFT, HARD = 5000, 5000, 6000
 MIN_WORDS = 5
 #: What preambles that are boilerplate hold.
 MOTTOS = ("CỘNG HÒA XÃ HỘI", "Độc lập - Tự do")
-RECORD = (
-    "document_id string, chunk_id string, chunk_index int, document_title string, document_link string, part_number string, part_title string, chapter_number string, chapter_title string, "
+#: What is cut from a document; chunk_id and text follow from it.
+CUT = (
+    "document_id string, chunk_index int, document_title string, document_link string, part_number string, part_title string, chapter_number string, chapter_title string, "
     "section_number string, section_title string, articles array<string>, clauses array<string>, points array<string>, char_start int, char_end int, char_length int, chunk_type string, "
-    "is_split boolean, text string, raw_text string"
+    "is_split boolean, raw_text string"
 )
 #: Code points of chunks that a batch of the result holds, about.
 BATCH_CHARS = 1 << 22
@@ -120,14 +122,8 @@ def contexts(units: list[Unit], starts: Iterable[int]) -> Iterator[dict[str, Uni
         yield dict(now)
 
 
-def enriched_text(raw: str, document: str | None, chapter: str | None, section: str | None, articles: list[str]) -> str:
-    """As functions.text.enriched."""
-    parts = [label + value for label, value in (("Văn bản: ", document), ("Chương: ", chapter), ("Mục: ", section), ("Điều ", ", ".join(articles))) if value]
-    return f"[{' | '.join(parts)}]\n{raw}" if parts else raw
-
-
 def document_chunks(document_id: str | None, title: str | None, link: str | None, text: str | None, packed: Callable[[str, list[Unit]], Iterable[list[Stretch]]], prune: bool, structure: bool = True) -> list[dict[str, Any]]:
-    """The chunk records of one document: numbered, enriched, pruned, then marked where chunks have an article (or, without articles, a clause) in common."""
+    """CUT of the chunks of one document: numbered, pruned, then marked where chunks have an article (or, without articles, a clause) in common."""
     if not text:
         return []
     units = units_of(text) if structure else []
@@ -138,13 +134,12 @@ def document_chunks(document_id: str | None, title: str | None, link: str | None
         articles, clauses = (list(dict.fromkeys(a for x in c for a in of(x))) for of in (lambda x: x.articles, lambda x: x.clauses))
         context = {f"{level}_{k}": getattr(now[level], k) if level in now else None for level in HARD_LEVELS for k in ("number", "title")}
         raw = text[start:end]
-        full = enriched_text(raw, title, context["chapter_title"], context["section_title"], articles)
-        if prune and len(full.rpartition("]\n")[2].split()) < MIN_WORDS:
+        if prune and len(raw.rpartition("]\n")[2].split()) < MIN_WORDS:  # as of the enriched text, whose first line ends so
             continue
         out.append({
-            "document_id": document_id, "chunk_id": None if document_id is None else f"{document_id}_chunk_{i:04d}", "chunk_index": i, "document_title": title, "document_link": link, **context,
+            "document_id": document_id, "chunk_index": i, "document_title": title, "document_link": link, **context,
             "articles": articles, "clauses": clauses, "points": [], "char_start": start, "char_end": end, "char_length": end - start, "chunk_type": c[0].level,
-            "is_split": any(x.level in ("paragraph", "hard_char") for x in c), "text": full, "raw_text": raw,
+            "is_split": any(x.level in ("paragraph", "hard_char") for x in c), "raw_text": raw,
         })
     keys = [[("a", x) for x in r["articles"]] or [("c", x) for x in r["clauses"]] for r in out]
     seen = Counter(k for own in keys for k in own)
@@ -154,7 +149,7 @@ def document_chunks(document_id: str | None, title: str | None, link: str | None
 
 
 def chunk(docs: DataFrame, target: int = TARGET, soft: int = SOFT, hard: int = HARD, prune: bool = True, cut: str = "structure") -> DataFrame:
-    """Chunk records (RECORD) of documents (document_id, document_title, document_link, text), cut by their structure, by `lines` alone, or `plain` as texts without structure.
+    """Chunk records of documents (document_id, document_title, document_link, text), cut by their structure, by `lines` alone, or `plain` as texts without structure.
 
     Null or empty text: no chunk. Null document_id: chunks without chunk_id. Repeated rows: each is chunked. raw_text stays beside the enriched text.
     """
@@ -164,7 +159,7 @@ def chunk(docs: DataFrame, target: int = TARGET, soft: int = SOFT, hard: int = H
     else:
         packed = lambda t, units: pack(stretches(t, units, target, hard), soft, hard)
     by_kind = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-    kinds = {name: by_kind[kind] for name, kind in (f.split() for f in RECORD.split(", "))}
+    kinds = {name: by_kind[kind] for name, kind in (f.split() for f in CUT.split(", "))}
 
     def batch(rows: list[dict[str, Any]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
@@ -182,7 +177,10 @@ def chunk(docs: DataFrame, target: int = TARGET, soft: int = SOFT, hard: int = H
             if rows:
                 yield batch(rows)
 
-    return docs.select(F.col("document_id").cast("string"), "document_title", "document_link", "text").mapInArrow(run, RECORD)
+    made = docs.select(F.col("document_id").cast("string"), "document_title", "document_link", "text").mapInArrow(run, CUT)
+    name = F.when(F.col("document_id").isNotNull(), chunk_id(F.col("document_id"), F.col("chunk_index")))
+    text = enriched(F.col("raw_text"), *(F.col(c) for c in ("document_title", "chapter_title", "section_title", "articles")))
+    return made.select("document_id", name.alias("chunk_id"), *[c for c in made.columns if c not in ("document_id", "raw_text")], text.alias("text"), "raw_text")
 
 
 def prune_short(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -261,7 +261,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
     q["chunk_fallback"] = (lambda s, d: _fallback(s, d).select(*cols), f"{HARD} SELECT * FROM fallback")
     q["chunk_lines"] = (lambda s, d: chunking.chunk(_documents(s, d), 500, 500, 600, prune=False, cut="lines").select("document_id", "chunk_index", "char_start", "char_end"), LINES_SQL)
     q["chunk_enriched_text"] = (lambda s, d: _fallback(s, d).select("chunk_id", F.md5("text").alias("digest")), f"{HARD} SELECT printf('%s_chunk_%04d', document_id, chunk_index) AS chunk_id, md5('[Văn bản: ' || source || ']' || chr(10) || substr(text, char_start + 1, char_length)) AS digest FROM fallback JOIN documents ON CAST(doc_id AS VARCHAR) = document_id")
-    q["prune_short"] = (lambda s, d: chunking.prune_short(_chunks(s, d)).select("chunk_id"), "SELECT doc_id AS chunk_id FROM documents WHERE len([x FOR x IN string_split_regex(text, '\\s+') IF x <> '']) >= 5")
+    q["prune_short"] = (lambda s, d: chunking.prune_short(_chunks(s, d).withColumn("text", F.concat(F.lit("[a b c d e f]\n"), "text"))).select("chunk_id"), "SELECT doc_id AS chunk_id FROM documents WHERE len([x FOR x IN string_split_regex(list_last(string_split(text, ']' || chr(10))), '\\s+') IF x <> '']) >= 5")
     q["mark_split"] = (lambda s, d: chunking.mark_split(_table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), F.array(F.col("l_suppkey").cast("string")).alias("articles"), F.array().cast("array<string>").alias("clauses"), F.lit(False).alias("is_split"))).select("chunk_id", "is_split"), "WITH x AS (SELECT l_orderkey || '-' || l_linenumber AS chunk_id, count(*) OVER (PARTITION BY l_orderkey, l_suppkey) > 1 AS b FROM lineitem) SELECT chunk_id, bool_or(b) OVER (PARTITION BY chunk_id) AS is_split FROM x")
     q["chunk_stats"] = (lambda s, d: stats.length_stats(_fallback(s, d)), f"{HARD} SELECT min(char_length) AS min, max(char_length) AS max, round(avg(char_length), 6) AS mean, round(quantile_cont(char_length, 0.5), 6) AS median, round(quantile_cont(char_length, 0.9), 6) AS p90, round(quantile_cont(char_length, 0.95), 6) AS p95, round(quantile_cont(char_length, 0.99), 6) AS p99 FROM fallback")
     q["chunks_per_doc"] = (lambda s, d: stats.chunks_per_document(_fallback(s, d)), f"{HARD}, n2 AS (SELECT count(*) AS n FROM fallback GROUP BY document_id) SELECT round(avg(n), 6) AS mean, quantile_cont(n, 0.5)::DOUBLE AS median, max(n) AS max FROM n2")

@@ -18,7 +18,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+#: Pages and items of a page, the request's kind and fields, and seconds to wait.
 PAGES, PAGE_SIZE = 2400, 10
+HEADERS = {"accept": "text/x-component", "content-type": "text/plain;charset=UTF-8"}
+FIELDS = {"optionDoc": "title", "matchMode": "all_words"}
 TIMEOUT, AFTER_ERROR, LEAST_PAUSE, MOST_PAUSE = 15.0, 5.0, 1.5, 3.5
 
 
@@ -40,13 +43,13 @@ class Pages:
         self.url = options["url"]
         self.size, self.last = int(options.get("size", PAGE_SIZE)), int(options.get("pages", PAGES))
         self.start, self.keyword = int(options.get("start", 1)), options.get("keyword", "")
-        self.headers = {"accept": "text/x-component", "content-type": "text/plain;charset=UTF-8"} | json.loads(options.get("headers", "{}"))
+        self.headers = HEADERS | json.loads(options.get("headers", "{}"))
         self.timeout, self.after_error = float(options.get("timeout", TIMEOUT)), float(options.get("pause_after_error", AFTER_ERROR))
         self.least, self.most = float(options.get("least_pause", LEAST_PAUSE)), float(options.get("most_pause", MOST_PAUSE))
 
     def fetch(self, page: int) -> list | None:
         """The items of a page; None if it can't be fetched."""
-        body = json.dumps([{"pageNumber": page, "pageSize": self.size, "keyword": self.keyword, "optionDoc": "title", "matchMode": "all_words"}]).encode()
+        body = json.dumps([{"pageNumber": page, "pageSize": self.size, "keyword": self.keyword} | FIELDS]).encode()
         try:
             with urllib.request.urlopen(urllib.request.Request(self.url, body, self.headers, method="POST"), timeout=self.timeout) as answer:
                 return items_of(answer.read().decode("utf-8", "replace"))

@@ -22,6 +22,22 @@ def test_clean(spark):
     assert [r.t for r in rows] == ["AB C\n\nx y\n\nz", "", ""]
 
 
+def test_text_functions(spark):
+    d = spark.createDataFrame([(" \x1fT\u00a0", ["b", None, "a", "b"], "[x]\ny]\nz w", "7_chunk_0012")], "t string, a array<string>, e string, c string")
+    r = d.select(T.optional_title(F.col("t")).alias("t"), T.optional_title(F.lit(" \t")).alias("none"), T.unique_in_order(F.col("a")).alias("a"), T.tail_after_prefix(F.col("e")).alias("e"), T.word_count(T.tail_after_prefix(F.col("e"))).alias("n"), T.document_of(F.col("c")).alias("d"), T.chunk_id(F.lit("x"), F.lit(12345)).alias("c")).first()
+    assert tuple(r) == ("T", None, ["b", "a"], "z w", 2, "7", "x_chunk_12345")
+    rows = [(t, c, s, a) for t in (None, "", "T") for c in (None, "C") for s in (None, "S") for a in ([], ["1", "2a"])]
+    got = spark.createDataFrame(rows, "t string, c string, s string, a array<string>").select(T.enriched(F.lit("raw"), F.col("t"), F.col("c"), F.col("s"), F.col("a")).alias("x")).collect()
+    head = lambda t, c, s, a: " | ".join(k + v for k, v in (("Văn bản: ", t), ("Chương: ", c), ("Mục: ", s), ("Điều ", ", ".join(a))) if v)
+    assert [r.x for r in got] == [f"[{head(*x)}]\nraw" if head(*x) else "raw" for x in rows]
+    assert got[-1].x == "[Văn bản: T | Chương: C | Mục: S | Điều 1, 2a]\nraw" and got[0].x == "raw"
+
+
+def test_normalized_cleaning(spark):
+    rows = spark.createDataFrame([("e\u0301 a\\",), ("a  b",), (None,)], "t string").select(T.clean(F.col("t")).alias("t")).collect()
+    assert [r.t for r in rows] == ["é a", "a b", ""]
+
+
 def test_units(spark):
     d = structure.with_units(spark.createDataFrame([("a", None, None, TEXT)], DDL))
     got = [(r.level, r.number, r.title, r.char_start, r.char_end) for r in d.select(F.inline("units")).collect()]
@@ -77,7 +93,7 @@ def test_audit_faults_holds_the_lines_too(spark):
     assert {"not JSON", "is_split is missing", "char_end is no integer", "index jumps"} <= found
 
 
-@pytest.mark.parametrize("name", ["clean_documents", "chunk_fallback", "chunk_stats", "length_buckets", "prune_short", "mark_split", "bm25_topk", "hybrid_rrf", "rerank_jaccard", "eval_macro_f2", "submission_rows", "resume_antijoin"])
+@pytest.mark.parametrize("name", ["clean_documents", "chunk_fallback", "chunk_stats", "length_buckets", "prune_short", "mark_split", "structural_units", "context_asof", "chunk_structured", "chunk_lines", "audit_faults", "audit_report", "bm25_stats", "bm25_topk", "hybrid_rrf", "rerank_jaccard", "eval_macro_f2", "submission_rows", "resume_antijoin"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
