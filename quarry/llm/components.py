@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, materialize
 
+#: Edges up to which (counted first) one task holds the graph, and rounds need no shuffle; beyond, edges are dealt by their nodes.
+ONE_TASK = 200_000
+
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour (or itself)."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, one: bool) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest of them. Edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least.select(F.col("u").alias("_u"), "m"), F.col("u") == F.col("_u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    whole = moved.unionByName(least.select("u", F.col("m").alias("v")))
+    return (whole.coalesce(1) if one else whole).distinct()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -33,8 +37,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         return tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = mark(e)
+    one = before[0] <= ONE_TASK  # rounds add no edges
     while before[0]:
-        shorter = materialize(_small(_large(e)), label)
+        shorter = materialize(_small(_large(e.coalesce(1) if one else e), one), label)
         discard(e)
         e, after = shorter, mark(shorter)
         if after == before:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, chat, html_text, jaccard, mixing, quality, sharding, token_records, topk, warc
+from quarry.llm import byte_bpe, chat, components, html_text, jaccard, mixing, quality, sharding, token_records, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, target int, slot int, key string"
 
@@ -396,3 +396,19 @@ def test_chat(spark):
     a = got["ann"]
     assert [a.text[m.start : m.end] for m in a.mask] == ["hi < |im_end|><|im_end|>"]
     assert a.text.startswith("<|im_start|>system\ns<|im_end|>\n<|im_start|>assistant\n") and "user name=bob" in a.text
+
+
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components(spark, monkeypatch, one_task):
+    """In one task or dealt out, against a plain search; a path, a star, a cycle, loops and repeated edges."""
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(1, 60)] + [(3000 + i, 3000 + (i + 1) % 9) for i in range(9)] + [(5, 5), (7, -7), (7, -7), (-7, 7)]
+    edges += [(rng.randrange(4000, 4100), rng.randrange(4000, 4100)) for _ in range(60)]
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = components.components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r.u: r.root for r in found.collect()} == {x: m for x, m in least.items() if x != m}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
