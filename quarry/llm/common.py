@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import ship
+from quarry.session import materialize, new_path, ship  # noqa: F401
 
 #: A word is a maximal run of characters other than these six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -20,9 +18,6 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Rows up to which a table that has been written and counted is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
-_OWN_DIRS: dict[str, str] = {}
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly the named columns; others go, whatever they are called (also names that differ by case only)."""
     at = [df.columns.index(n) for n in names]
@@ -35,44 +30,11 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only a single-machine session (local master) may leave it unset and gets a folder of its own; a cluster must name one.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if sc.applicationId not in _OWN_DIRS:
-            _OWN_DIRS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="quarry-")
-            sc.setCheckpointDir(_OWN_DIRS[sc.applicationId])
-        base = _OWN_DIRS[sc.applicationId]
-    return f"{base.rstrip('/')}/quarry-{sc.applicationId}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
 def constant(numbers: Sequence[float], kind: str) -> Column:
     """A list of numbers, of a fixed length, as one array literal (the optimizer folds it)."""
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows as a Parquet table in the shared folder and read them back: the lineage ends there, and a lost executor costs no earlier stage.
-
-    The tables of an application lie in one folder, quarry-<application id>, and may be deleted after it ends; discard() deletes those that nothing needs any more.
-    """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
 def discard(*tables: DataFrame | None) -> None:
     """Delete materialized tables from the shared folder. What is still to be computed must not read them."""
     for df in tables:

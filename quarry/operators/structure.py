@@ -1,7 +1,8 @@
 """Structural units of legal texts with exact code-point offsets.
 
 A document is one row and its units come from one pass over its text in an Arrow-batched function, in time linear in its length: offsets are the matches' own, which
-Spark's regular-expression functions don't give. What relates units to each other (contexts, owners) is a window over the exploded rows.
+Spark's regular-expression functions don't give. Documents of any size come in pieces, rows of their own: what relates units of different pieces (ends, contexts, owners) is
+carried by windows over a small summary of each piece.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ _LINES = {level: re.compile(r"^[^\S\n]*(?=\S)" + p, re.MULTILINE | (re.IGNORECAS
 _UNITS_ARROW = pa.list_(pa.struct([("level", pa.string()), ("rank", pa.int32()), ("number", pa.string()), ("title", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())]))
 
 
+#: A line that a heading may reach beyond: it holds no more than the parts before a title.
+OPEN = re.compile(r"(?:Phần|Chương|Mục|Điều)?\s*(?:[IVXLCDM]+|\d+[A-Za-z]?|\d+\.\d+|[a-zđ])?\s*[.:\-)]?", re.IGNORECASE)
+
+
 class Unit(NamedTuple):
     level: str
     rank: int
@@ -105,19 +110,99 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.inline("units"))
 
 
-def in_document() -> Window:
-    return Window.partitionBy("document_id").orderBy("char_start", "rank").rowsBetween(Window.unboundedPreceding, 0)
+def pieces_of(text: str, size: int) -> Iterator[str]:
+    """The text in pieces of `size` code points at least, which line feeds join: each ends with a line that no heading reaches beyond."""
+    at, end = 0, text.find("\n", size)
+    while end >= 0:
+        if OPEN.fullmatch(text[max(at, text.rfind("\n", 0, end) + 1) : end].strip()):
+            end = text.find("\n", end + 1)
+            continue
+        yield text[at:end]
+        at, end = end + 1, text.find("\n", end + 1 + size)
+    yield text[at:]
 
 
-def with_context(units: DataFrame) -> DataFrame:
-    """Add number and title of the part, chapter and section in force at each unit's start: the last ones until there. A chapter ends the section before it, a part ends nothing."""
-    so_far = in_document()
-    last = {level: F.last(F.when(F.col("level") == level, F.struct("number", "title", "char_start")), ignorenulls=True).over(so_far) for level in HARD_LEVELS}
-    d = units.select("*", *[c.alias(f"_{level}") for level, c in last.items()])
-    d = d.withColumn("_section", F.when(F.col("_chapter").isNull() | (F.col("_section.char_start") >= F.col("_chapter.char_start")), F.col("_section")))
-    return d.select(*units.columns, *[F.col(f"_{level}.{k}").alias(f"{level}_{k}") for level in HARD_LEVELS for k in ("number", "title")])
+def _summaries(pieces: DataFrame) -> DataFrame:
+    """document_id, piece, n (code points with the line feed), firsts (by level, where its first unit starts) and lasts (its last unit), counted from the piece's start."""
+    ship(pieces.sparkSession)
+    kind = pa.list_(pa.struct([("number", pa.string()), ("title", pa.string()), ("char_start", pa.int32())]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, firsts, lasts = [], [], []
+            for x in b.column(2):
+                text = x.as_py()
+                first, last = [None] * len(PATTERNS), [None] * len(PATTERNS)
+                for level, k in RANK.items():
+                    for u in level_units(text, level):
+                        last[k] = u
+                        if first[k] is None:
+                            first[k] = u.char_start
+                n.append(len(text) + 1)
+                firsts.append(first)
+                lasts.append([u and {"number": u.number, "title": u.title, "char_start": u.char_start} for u in last])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, kind)], ["document_id", "piece", "n", "firsts", "lasts"])
+
+    return pieces.select(F.col("document_id").cast("string"), F.col("piece").cast("long"), "text").mapInArrow(run, "document_id string, piece long, n long, firsts array<int>, lasts array<struct<number:string,title:string,char_start:int>>")
+
+
+def with_carry(pieces: DataFrame) -> DataFrame:
+    """Add to each piece where it starts in its document (`at`), the document's length (`total`), and by level the last unit before the piece (`before`) and where the first one after it starts (`after`).
+
+    A piece's summary is a small row of its own, and the windows run over these alone.
+    """
+    so_far = Window.partitionBy("document_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    to_come = Window.partitionBy("document_id").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = _summaries(pieces).withColumn("at", F.coalesce(F.sum("n").over(so_far), F.lit(0)).cast("int")).withColumn("total", (F.sum("n").over(Window.partitionBy("document_id")) - 1).cast("int"))
+    last = [F.when(F.col("lasts")[k].isNotNull(), F.struct(F.col("lasts")[k]["number"].alias("number"), F.col("lasts")[k]["title"].alias("title"), (F.col("at") + F.col("lasts")[k]["char_start"]).alias("char_start"))) for k in range(len(PATTERNS))]
+    before = F.array(*[F.last(x, ignorenulls=True).over(so_far) for x in last])
+    after = F.array(*[F.last(F.col("at") + F.col("firsts")[k], ignorenulls=True).over(to_come) for k in range(len(PATTERNS))])
+    carry = placed.select(F.col("document_id").alias("_d"), F.col("piece").alias("_p"), "at", "total", before.alias("before"), after.alias("after"))
+    return pieces.join(F.broadcast(carry), F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("piece") == F.col("_p"))).drop("_d", "_p")
+
+
+def unit_rows(pieces: DataFrame, context: bool = False, owner: str | None = None) -> DataFrame:
+    """document_id, level, number, title, char_start and char_end of the units of documents in pieces (document_id, piece, text; stored, as they are read twice), a row each.
+
+    A document's text is its pieces in order, joined by line feeds; each piece but the last ends with a line that no heading reaches beyond, as pieces_of() cuts it. `context` adds number and title of the
+    part, chapter and section in force at each unit's start: the last ones until there; a chapter ends the section before it, a part ends nothing. `owner` adds, as `owner`, the number of the last unit
+    of a level that has begun; as units of one level tile the text from the first on, it's the one that holds the start.
+    """
+    ship(pieces.sparkSession)
+    kinds: dict[str, pa.DataType] = {"document_id": pa.string(), "level": pa.string(), "number": pa.string(), "title": pa.string(), "char_start": pa.int32(), "char_end": pa.int32()}
+    kinds |= {f"{level}_{k}": pa.string() for level in HARD_LEVELS for k in ("number", "title")} if context else {}
+    kinds |= {"owner": pa.string()} if owner else {}
+    part, chapter, section = (RANK[level] for level in HARD_LEVELS)
+    own = RANK.get(owner, -1)
 
-def with_owner(units: DataFrame, level: str = "article", out: str = "owner") -> DataFrame:
-    """Add the number of the last unit of a level that has begun by each unit's start; as units of one level tile the text from the first on, it's the one that holds the start."""
-    return units.withColumn(out, F.last(F.when(F.col("level") == level, F.col("number")), ignorenulls=True).over(in_document()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*b.columns, strict=True):
+                document_id, text, at, total, before, after = (x.as_py() for x in row)
+                units, ends = units_of(text), []
+                for u in reversed(units):
+                    ends.append(total if after[u.rank] is None else after[u.rank])
+                    after[u.rank] = at + u.char_start
+                columns = [[document_id] * len(units), [u.level for u in units], [u.number for u in units], [u.title for u in units], [at + u.char_start for u in units], ends[::-1]]
+                now: list[tuple[str | None, str | None]] = [(x["number"], x["title"]) if x else (None, None) for x in before]
+                if before[section] and before[chapter] and before[section]["char_start"] < before[chapter]["char_start"]:
+                    now[section] = (None, None)
+                found, owners = [], []
+                for u in units if context or owner else ():
+                    now[u.rank] = (u.number, u.title)
+                    if u.rank == chapter:
+                        now[section] = (None, None)
+                    if context:
+                        found.append((*now[part], *now[chapter], *now[section]))
+                    owners.append(now[own][0])
+                columns += [[f[i] for f in found] for i in range(6)] if context else []
+                columns += [owners] if owner else []
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    rows = with_carry(pieces).select(F.col("document_id").cast("string"), "text", "at", "total", "before", "after")
+    return rows.mapInArrow(run, ", ".join(f"{k} {'int' if t == pa.int32() else 'string'}" for k, t in kinds.items()))
+
+
+def fingerprints(pieces: DataFrame) -> DataFrame:
+    """document_id and fingerprint (the levels that occur, in their order) of documents in pieces."""
+    return pieces.groupBy("document_id").agg(F.array_compact(F.array(*[F.when(F.bool_or(F.col("text").rlike(java_pattern(level))), F.lit(level)) for level in PATTERNS])).alias("fingerprint"))

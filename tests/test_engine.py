@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from pathlib import Path
 
 import pytest
@@ -107,3 +108,45 @@ def test_against_sql(spark, name):
     assert len(ours) == len(theirs)
     for a, b in zip(ours, theirs, strict=True):
         assert all(math.isclose(x, y, abs_tol=2e-6) if isinstance(x, float) else x == y for x, y in zip(a, b, strict=True))
+
+
+def pieces(spark, texts, size):
+    """Texts by document as in_pieces rows, cut after so many characters."""
+    rows = [(d, i, p) for d, t in texts.items() for i, p in enumerate(structure.pieces_of(t, size))]
+    return spark.createDataFrame(rows, "document_id string, piece long, text string").repartition(3), len(rows)
+
+
+def awkward(rng, n):
+    return "\n".join(rng.choice(["Phần", "IV", "Phần I. A", "Chương 2", "Chương 3: B", "", " ", "Mục 1", ".", "Điều 1", "Điều 2. C", "1. d", "2.", "a) e", "1.1 f", "g", "", "h i j k l m"]) for _ in range(n)) + rng.choice(["", "\n"])
+
+
+def test_units_of_pieces_are_those_of_the_whole(spark):
+    rng = random.Random(5)
+    texts = {str(i): awkward(rng, rng.randint(0, 60)) for i in range(120)}
+    split, n = pieces(spark, texts, 10)
+    assert n > 400 and all("\n".join(structure.pieces_of(t, 10)) == t for t in texts.values())
+    want = []
+    for d, t in texts.items():
+        units = structure.units_of(t)
+        now = {}
+        for u, c in zip(units, chunking.contexts([v for v in units if v.level != "article"], [u.char_start for u in units]), strict=True):
+            now[u.level] = u.number
+            # A unit's context is that at its own place in the order, so headings of a lower rank that start there don't count yet.
+            c = {k: v for k, v in c.items() if (v.char_start, v.rank) <= (u.char_start, u.rank)}
+            want.append((d, u.level, u.number, u.title, u.char_start, u.char_end, now.get("article"), c.get("part") and c["part"].title))
+    got = structure.unit_rows(split, context=True, owner="article").collect()
+    assert sorted(map(str, want)) == sorted(str((r.document_id, r.level, r.number, r.title, r.char_start, r.char_end, r.owner, r.part_title)) for r in got)
+    levels = {r.document_id: r.fingerprint for r in structure.fingerprints(split).collect()}
+    assert levels == {d: structure.levels_of(structure.units_of(t)) for d, t in texts.items()}
+
+
+def test_legal_pieces_are_the_corpus(spark):
+    d = str(DATA)
+    for t in ("customer", "orders", "lineitem"):
+        spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(f"plain_{t}")
+    lines = catalog.LINES.format(customer="plain_customer", orders="plain_orders", lineitem="plain_lineitem")
+    whole = spark.sql(f"WITH {lines} SELECT CAST(d AS STRING) AS d, array_join(transform(array_sort(collect_list(struct(pa, ch, se, ar, cl, k, po, line))), x -> x.line), '\n') AS text FROM l GROUP BY d")
+    cut = {}
+    for r in sorted(catalog.legal_pieces(spark, d).collect(), key=lambda r: r.piece):
+        cut.setdefault(r.document_id, []).append(r.text)
+    assert {r.d: r.text for r in whole.collect()} == {d: "\n".join(p) for d, p in cut.items()} and max(map(len, cut.values())) > 1
