@@ -147,7 +147,8 @@ def _summaries(pieces: DataFrame) -> DataFrame:
 
 
 def with_carry(pieces: DataFrame) -> DataFrame:
-    """Add to each piece where it starts in its document (`at`), the document's length (`total`), and by level the last unit before the piece (`before`) and where the first one after it starts (`after`).
+    """Add to each piece where it starts in its document (`at`), the document's length (`total`), and by level the last unit before the piece (`before`), where the first one after it starts (`after`) and
+    whether the document has one (`levels`).
 
     A piece's summary is a small row of its own, and the windows run over these alone.
     """
@@ -157,7 +158,16 @@ def with_carry(pieces: DataFrame) -> DataFrame:
     last = [F.when(F.col("lasts")[k].isNotNull(), F.struct(F.col("lasts")[k]["number"].alias("number"), F.col("lasts")[k]["title"].alias("title"), (F.col("at") + F.col("lasts")[k]["char_start"]).alias("char_start"))) for k in range(len(PATTERNS))]
     before = F.array(*[F.last(x, ignorenulls=True).over(so_far) for x in last])
     after = F.array(*[F.last(F.col("at") + F.col("firsts")[k], ignorenulls=True).over(to_come) for k in range(len(PATTERNS))])
-    carry = placed.select(F.col("document_id").alias("_d"), F.col("piece").alias("_p"), "at", "total", before.alias("before"), after.alias("after"))
+    levels = F.array(*[F.max(F.col("firsts")[k].isNotNull()).over(Window.partitionBy("document_id")) for k in range(len(PATTERNS))])
+    carry = placed.select(F.col("document_id").alias("_d"), F.col("piece").alias("_p"), "at", "total", before.alias("before"), after.alias("after"), levels.alias("levels"))
+    return pieces.join(F.broadcast(carry), F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("piece") == F.col("_p"))).drop("_d", "_p")
+
+
+def placed(pieces: DataFrame) -> DataFrame:
+    """Add `at` and `total` alone, which need no unit."""
+    n = pieces.select(F.col("document_id").alias("_d"), F.col("piece").alias("_p"), (F.length("text") + 1).alias("n"))
+    w = Window.partitionBy("_d")
+    carry = n.select("_d", "_p", F.coalesce(F.sum("n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("at"), (F.sum("n").over(w) - 1).cast("int").alias("total"))
     return pieces.join(F.broadcast(carry), F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("piece") == F.col("_p"))).drop("_d", "_p")
 
 
