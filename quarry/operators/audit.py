@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.stats import length_buckets
-from quarry.operators.structure import HARD_LEVELS
+from quarry.operators.structure import HARD_LEVELS, level_units, placed
 from quarry.session import ship
 
 REQUIRED = ("document_id", "chunk_id", "chunk_index", "text")
@@ -23,13 +23,15 @@ NUMBERS = ("chunk_index", "char_start", "char_end", "char_length")
 KEYS = ("document_id", "chunk_id", "chunk_index", "document_title", "part_number", "part_title", "chapter_number", "chapter_title", "section_number", "section_title",
         "articles", "clauses", "points", "char_start", "char_end", "char_length", "chunk_type", "is_split", "text")
 NOT_EMPTY = ("document_id", "chunk_id", "text", "chunk_type")
+#: Code points of a source that chunks are held against at once.
+BLOCK = 4096
 ERRORS = "layer string, chunk_id string, message string"
 
 
 def _messages(chunks: DataFrame, docs: DataFrame | None, mode: str) -> DataFrame:
     """The chunks with `_messages`, an array of (layer, message) by the rules on a row and its neighbour, and `_blank_gap`, whether only blanks are missing before it.
 
-    One shuffle by document serves both the neighbours and the source's text.
+    docs: a document in a row (document_id, text, units), or in pieces (see structure.unit_rows).
     """
     text = F.col("raw_text" if mode == "raw" and "raw_text" in chunks.columns else "text")
     by_doc = Window.partitionBy("document_id").orderBy("chunk_index", "char_start")
@@ -42,26 +44,81 @@ def _messages(chunks: DataFrame, docs: DataFrame | None, mode: str) -> DataFrame
         ("offsets", start < 0, "negative start"),
         ("offsets", end <= start, "end not after start"),
         ("offsets", length != end - start, "length differs from offsets"),
-        ("offsets", F.length("_text") != length, "text has another length"),
+        ("offsets", F.col("_n") != length, "text has another length"),
         ("continuity", F.col("_i") != F.col("chunk_index"), "index jumps"),
         ("continuity", start < F.col("_end"), "overlap"),
     ]
     blank_gap = F.lit(False)
+    c = c.withColumn("_n", F.length("_text"))
     if docs is not None:
-        hard = F.transform(F.filter("units", lambda u: u["level"].isin(*HARD_LEVELS)), lambda u: u["char_start"])
-        c = c.join(docs.select("document_id", F.col("text").alias("_source"), *([hard.alias("_hard")] if "units" in docs.columns else [])), "document_id", "left")
-        gap = F.substring(F.col("_source"), F.col("_end") + 1, start - F.col("_end"))
-        lost = gap.rlike(r"(?U)[^\s\x1c-\x1f]")
-        blank_gap = F.coalesce((start > F.col("_end")) & ~lost, F.lit(False))
-        rules.append(("source", F.col("_source").isNotNull() & ((start < 0) | (F.substring(F.col("_source"), start + 1, end - start) != F.col("_text"))), "text differs from the source"))
+        c = _held_against(c, docs)
+        rules.append(("source", F.col("_total").isNotNull() & ((start < 0) | ~F.col("_same") | (F.col("_n") != F.greatest(F.least(end, F.col("_total")) - start, F.lit(0)))), "text differs from the source"))
+        lost = F.coalesce("_lost", F.lit(False))
+        blank_gap = F.coalesce((start > F.col("_end")) & ~lost & F.col("_total").isNotNull(), F.lit(False))
         rules.append(("continuity", (start > F.col("_end")) & lost, "text lost in a gap"))
-        if "_hard" in c.columns:
-            inside = F.exists("_hard", lambda at: (at > start) & (at < end))
-            rules.append(("boundary", inside, "a part, chapter or section starts inside"))
+        rules.append(("boundary", F.col("_inside"), "a part, chapter or section starts inside"))
     found = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(layer).alias("layer"), F.lit(message).alias("message"))) for layer, bad, message in rules])
     return c.select("chunk_id", "char_length", F.filter(found, lambda x: x.isNotNull()).alias("_messages"), blank_gap.alias("_blank_gap"))
 
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """document_id, block, at, source and hard (where parts, chapters and sections start in it): the sources cut at the multiples of BLOCK, and where their pieces end."""
+    ship(docs.sparkSession)
+    whole, kept = "piece" not in docs.columns, "units" in docs.columns
+    if whole:
+        hard = F.transform(F.filter("units", lambda u: u["level"].isin(*HARD_LEVELS)), lambda u: u["char_start"].cast("int")) if kept else F.array().cast("array<int>")
+        rows = docs.select(F.col("document_id").cast("string"), "text", F.lit(0).alias("at"), hard.alias("hard")).where("text is not null")
+    else:
+        rows = placed(docs).select(F.col("document_id").cast("string"), F.when(F.col("at") + F.length("text") < F.col("total"), F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("text"), "at", F.lit(None).cast("array<int>").alias("hard"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*b.columns, strict=True):
+                d, text, at, hard = (x.as_py() for x in row)
+                marks: dict[int, list[int]] = {}
+                for m in hard if whole else (at + u.char_start for level in HARD_LEVELS for u in level_units(text, level)):
+                    marks.setdefault(m // BLOCK, []).append(m)
+                starts = [at, *range((at // BLOCK + 1) * BLOCK, at + len(text), BLOCK)] if text else []
+                cut = [text[s - at : (s // BLOCK + 1) * BLOCK - at] for s in starts]
+                for i in range(0, len(starts), 1000):
+                    own = starts[i : i + 1000]
+                    columns = [pa.array([d] * len(own), pa.string()), pa.array([s // BLOCK for s in own], pa.int32()), pa.array(own, pa.int32()), pa.array(cut[i : i + 1000], pa.string()), pa.array([marks.get(s // BLOCK, []) for s in own], pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["document_id", "block", "at", "source", "hard"])
+
+    return rows.mapInArrow(run, "document_id string, block int, at int, source string, hard array<int>")
+
+
+def _held_against(c: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunks with `_total` (the source's length, null without one), `_same` (nothing of the text differs), `_lost` (the gap before holds more than blanks) and `_inside` (a heading starts in it), without
+    `_text`. A chunk meets the blocks of the source that it and its gap touch, each with its own slice alone."""
+    if "piece" in docs.columns:
+        totals = docs.groupBy("document_id").agg((F.sum(F.length("text") + 1) - 1).alias("_total"))
+    else:
+        totals = docs.groupBy("document_id").agg(F.max(F.length("text")).alias("_total"))
+    totals = totals.select(F.col("document_id").cast("string").alias("_d"), "_total")
+    c = c.join(totals, F.col("document_id").cast("string") == F.col("_d"), "left").drop("_d")
+    zero = F.lit(0)
+    start, end = F.greatest(F.col("char_start"), zero), F.least(F.col("char_end"), F.col("_total").cast("int"))
+    gap, gap_end = F.greatest(F.col("_end"), zero), F.least(F.col("char_start"), F.col("_total").cast("int"))
+    touched = lambda a, b: F.when(b > a, F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    keys = [x for x in c.columns if x != "_text"]
+    at = F.col("_block") * BLOCK
+    low, high = F.greatest(start, at), F.least(end, at + BLOCK)
+    own = F.expr("substring(_text, _low - char_start + 1, _high - _low)")
+    parts = c.withColumn("_block", F.explode_outer(F.array_distinct(F.concat(touched(start, end), touched(gap, gap_end)))))
+    parts = parts.withColumns({"_low": low, "_high": high}).withColumn("_own", F.when(F.col("_high") > F.col("_low"), own)).drop("_text", "_low", "_high")
+    blocks = _blocks(docs).select(F.col("document_id").alias("_d"), F.col("block").alias("_b"), "at", "source", "hard")
+    met = parts.join(blocks, (F.col("document_id").cast("string") == F.col("_d")) & (F.col("_block") == F.col("_b")), "left")
+    met = met.withColumns({"_low": low, "_a": F.greatest(low, F.col("at")), "_z": F.least(high, F.col("at") + F.length("source")), "_ga": F.greatest(gap, F.col("at")), "_gz": F.least(gap_end, F.col("at") + F.length("source"))})
+    # A slice of a text that is too short is shorter than the source's and differs, as does the length then.
+    same = F.when(F.col("_z") > F.col("_a"), F.expr("substring(_own, _a - _low + 1, _z - _a) = substring(source, _a - at + 1, _z - _a)")).otherwise(True)
+    lost = (F.col("_gz") > F.col("_ga")) & F.expr("substring(source, _ga - at + 1, _gz - _ga)").rlike(r"(?U)[^\s\x1c-\x1f]")
+    inside = F.exists("hard", lambda m: (m > F.col("char_start")) & (m < F.col("char_end")))
+    met = met.select(*keys, same.alias("_same"), lost.alias("_lost"), inside.alias("_inside"))
+    rest = [k for k in keys if k not in ("document_id", "_i")]
+    return met.groupBy("document_id", "_i").agg(*[F.first(k).alias(k) for k in rest], F.bool_and("_same").alias("_same"), F.bool_or("_lost").alias("_lost"), F.bool_or("_inside").alias("_inside"))
+
+
 def audit(chunks: DataFrame, docs: DataFrame | None = None, mode: str = "raw") -> DataFrame:
     """The errors of a typed table. Each repeat of a chunk_id is one; a negative start has no slice of the source, so its text differs too."""
     rows = _messages(chunks, docs, mode).select("chunk_id", F.inline("_messages"))

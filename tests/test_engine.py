@@ -150,3 +150,59 @@ def test_legal_pieces_are_the_corpus(spark):
     for r in sorted(catalog.legal_pieces(spark, d).collect(), key=lambda r: r.piece):
         cut.setdefault(r.document_id, []).append(r.text)
     assert {r.d: r.text for r in whole.collect()} == {d: "\n".join(p) for d, p in cut.items()} and max(map(len, cut.values())) > 1
+
+
+def sectioned(texts, size):
+    """Texts as pieces that begin where a document is cut, with the number of the part, chapter or section that the piece lies in."""
+    rows = []
+    for d, t in texts.items():
+        units = structure.units_of(t)
+        main = chunking.main_level({u.level for u in units})
+        held, section = [], 0
+        for p in structure.pieces_of(t, size):
+            first = {u.level for u in structure.units_of(p) if u.char_start == 0}
+            if held and first & {*structure.HARD_LEVELS}:
+                section += 1
+            if held and not first & {*structure.HARD_LEVELS, main}:
+                held[-1] = (*held[-1][:4], held[-1][4], held[-1][5] + "\n" + p) if len(held) % 2 else held[-1]
+                if len(held) % 2:
+                    continue
+            held.append((d, "T", None, section, len(held), p))
+        rows += held
+    return rows
+
+
+def test_chunks_of_pieces_are_those_of_the_whole(spark):
+    rng = random.Random(9)
+    texts = {str(i): awkward(rng, rng.randint(0, 80)) for i in range(80)} | {"x": "y" * 700}
+    kind = "document_id string, document_title string, document_link string, section long, piece long, text string"
+    rows = sectioned(texts, 10)
+    assert len({r[:4] for r in rows}) > 150 and {d: "\n".join(r[5] for r in rows if r[0] == d) for d in texts} == texts
+    whole = spark.createDataFrame([(d, "T", None, t) for d, t in texts.items()], DDL)
+    split = spark.createDataFrame(rows, kind).repartition(5)
+    for cut, prune in (("structure", True), ("structure", False), ("plain", False)):
+        got, want = (sorted(map(str, x.collect())) for x in (chunking.chunk_pieces(split, 30, 30, 40, prune, cut), chunking.chunk(whole, 30, 30, 40, prune, cut)))
+        assert got == want
+
+
+def test_audit_of_pieces_is_that_of_the_whole(spark):
+    rng = random.Random(4)
+    texts = {str(i): "\n".join(rng.choice(["Chương 1. A", "b c", "", " ", "Điều 2. d", "é" * 3000]) for _ in range(rng.randint(1, 12))) for i in range(40)}
+    split, _ = pieces(spark, texts, 900)
+    whole = structure.with_units(spark.createDataFrame(list(texts.items()), "document_id string, text string"))
+    rows = []
+    for d, t in texts.items():
+        at = i = 0
+        while at < len(t):
+            end = at + rng.randint(1, 9000)
+            text = t[at:end]
+            rows.append((d, f"{d}-{i}", i, at, end, end - at, text if rng.random() < 0.8 else text[:-1] + "?"))
+            at, i = min(end, len(t)) + rng.choice([0, 0, 1, 5000, -2]), i + 1
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_id string, chunk_index int, char_start int, char_end int, char_length int, text string")
+    want = []
+    for (d, name, _, a, z, _, text), before in zip(rows, [None, *rows], strict=False):
+        gap = texts[d][before[4] : a] if before and before[0] == d else ""
+        want += [name + " text differs from the source"] * (a < 0 or texts[d][a:z] != text) + [name + " text lost in a gap"] * bool(gap.strip())
+        want += [name + " a part, chapter or section starts inside"] * any(a < u.char_start < z for u in structure.units_of(texts[d]) if u.level in structure.HARD_LEVELS)
+    for docs in (split, whole):
+        assert sorted(f"{r.chunk_id} {r.message}" for r in audit.audit(chunks, docs).where("layer in ('source', 'boundary') or message = 'text lost in a gap'").collect()) == sorted(want)
