@@ -206,3 +206,13 @@ def test_audit_of_pieces_is_that_of_the_whole(spark):
         want += [name + " a part, chapter or section starts inside"] * any(a < u.char_start < z for u in structure.units_of(texts[d]) if u.level in structure.HARD_LEVELS)
     for docs in (split, whole):
         assert sorted(f"{r.chunk_id} {r.message}" for r in audit.audit(chunks, docs).where("layer in ('source', 'boundary') or message = 'text lost in a gap'").collect()) == sorted(want)
+
+
+def test_shared_answers_stay_a_row_each(spark):
+    hits = spark.createDataFrame([(0, 1, 5), (0, 2, 7), (1, 1, 7), (3, 1, 5)], "qid int, rank int, doc_id int")
+    asked = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "none")], "qid int, label string")
+    members = spark.createDataFrame([("a", 7), ("a", 8), ("b", 5)], "label string, doc_id int")
+    assert sorted(map(tuple, evaluation.reciprocal_rank_by(hits, asked, members, "label").collect())) == [(0, 0.5), (1, 0.0), (2, 0.0)]
+    assert sorted(map(tuple, evaluation.judged_by(hits, asked, members, "label").collect())) == [(0, 0.5, 0.5), (1, 0.0, 0.0), (2, 0.0, 0.0)]
+    plan = catalog.queries()["mrr"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "explode" not in plan
