@@ -216,3 +216,16 @@ def test_shared_answers_stay_a_row_each(spark):
     assert sorted(map(tuple, evaluation.judged_by(hits, asked, members, "label").collect())) == [(0, 0.5, 0.5), (1, 0.0, 0.0), (2, 0.0, 0.0)]
     plan = catalog.queries()["mrr"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "explode" not in plan
+
+
+def test_sparse_search_scores_in_tasks(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(12)]
+    chunks = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(300)] + [(300, None)], "chunk_id long, text string").repartition(4)
+    queries = spark.createDataFrame([(q, " ".join(rng.choices([*words, "none"], k=5))) for q in range(20)] + [(20, "none"), (21, "")], "qid long, query string")
+    # A stored index's search joins postings; the one without an index scores in tasks and shuffles none.
+    joined = retrieval.Bm25Index.of(chunks, only=retrieval.query_terms(queries)).search(queries, 6)
+    direct = retrieval.bm25(queries, chunks, 6)
+    rounded = lambda d: sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 5)) for r in d.collect())
+    assert rounded(direct) == rounded(joined)
+    assert "Join" not in direct._jdf.queryExecution().optimizedPlan().toString()
