@@ -34,7 +34,7 @@ CUT = (
     "is_split boolean, raw_text string"
 )
 #: Code points of chunks that a batch of the result holds, about.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 19
 _BREAK = re.compile(r"\n(?:\s*\n)?")
 
 
